@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm import bpe, pieces
+from strataline.llm import bpe, credentials, pieces
 from strataline.sources.tables import table, unique
 
 
@@ -27,6 +27,18 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(unique(spark, d, "documents", "text"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p7_ids": p7_ids}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    code = credentials.found(table(spark, d, "chunks"), "symbol_id", "code").select(F.lit("chunks").alias("table_name"), "row_id", "line_no")
+    keys = credentials.found(table(spark, d, "string_literals"), "id", "key").select(F.lit("string_literals").alias("table_name"), "row_id", "line_no")
+    return code.unionByName(keys).distinct()
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    code = credentials.redact(unique(spark, d, "chunks", "code"), "symbol_id", "code").select(F.lit("chunks").alias("table_name"), "row_id", "n_values", "text")
+    keys = credentials.redact(unique(spark, d, "string_literals", "key"), "id", "key").select(F.lit("string_literals").alias("table_name"), "row_id", "n_values", "text")
+    return code.unionByName(keys)
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_redacted": p4_redacted, "p7_ids": p7_ids}
 
 SQL = {"p3_found": "SELECT DISTINCT symbol_id FROM chunks WHERE octet_length(encode(code)) > 2000"}

@@ -1,0 +1,65 @@
+import pytest
+
+from strataline.llm import credentials
+from strataline.llm.credentials_train import Maker, score
+from strataline.llm.crf import Crf
+
+HARD = [
+    ('const dbPassword = "Hunter-2931grove";', "Hunter-2931grove"),
+    ("conn = 'postgres://app:Quietriver48213@db.example:5432/x'", "Quietriver48213"),
+    ("// curl -u app:Lowtide33812 https://api.example/x", "Lowtide33812"),
+    ('  "apiKey": "ghp_0123456789abcdefghijABCDEFGHIJ012345",', "ghp_0123456789abcdefghijABCDEFGHIJ012345"),
+    ("const t = 'x';\nconst secretKey = 'ghs_ISIvUUI2' +\n  'TqtyEPjl1ql0hx8l';\n", "ghs_ISIvUUI2' +\n  'TqtyEPjl1ql0hx8l"),
+]
+CLEAN = ['const dbPassword = "changeme";', "password = os.environ['DB_PASSWORD_2']", 'const etag = "3e02aed428cade78c9943b130b2fc33e";', 'url = "postgres://user:${PGPASSWORD}@localhost:5432/x"', 'const label = "Password must have at least 14 characters";', "", "x" * 100_000, "a1" * 50_000]
+
+
+def test_values_and_nothing_else():
+    f = credentials.Finder()
+    for text, value in HARD:
+        assert [text[a:b] for a, b in f.find([text])[0]] == [value]
+    assert f.find(CLEAN) == [[]] * len(CLEAN)
+
+
+def test_private_key_block():
+    body = "\n".join("MIIEpAIBAAKCAQEA" + "abcdEFGH0123456789+/ABCDwxyz" * 1 + str(i) * 4 for i in range(10, 15))
+    text = f"x = 1\nkey = '''\n-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----\n'''\n"
+    spans = credentials.Finder().find([text])[0]
+    assert [text.count("\n", 0, a) + 1 for a, _ in spans][0] == 3 and text[spans[-1][1] :].startswith("\n'''")
+
+
+def test_rows(spark):
+    rows = [(1, "a\n" + HARD[0][0], "x"), (1, "a\n" + HARD[0][0], "x"), (2, None, "x"), (3, "", "x"), (4, HARD[0][0] + "\r\n" + HARD[1][0] + "\n" + HARD[1][0] + HARD[2][0], "x")]
+    df = spark.createDataFrame(rows, "row_id long, text string, line_no string")
+    assert sorted(tuple(r) for r in credentials.found(df, "row_id", "text").collect()) == [(1, 2), (1, 2), (4, 1), (4, 2), (4, 3)]
+    red = {r.row_id: (r.n_values, r.text) for r in credentials.redact(df, "row_id", "text").collect()}
+    assert red[1] == (1, 'a\nconst dbPassword = "REDACTED";') and red[2] == (0, None) and red[3] == (0, "")
+    assert "REDACTED" in red[4][1] and "Quietriver" not in red[4][1] and red[4][1].count("\n") == 2
+    assert credentials.found(df.limit(0), "row_id", "text").collect() == []
+
+
+def test_held_out_accuracy():
+    precision, recall, _ = score(credentials.model(), 800, 99)
+    assert precision > 0.95 and recall > 0.95
+
+
+def test_training_is_ours():
+    m = Maker(3)
+    small = Crf.train([m.row()[1:] for _ in range(900)], 3, 60)
+    precision, recall, _ = score(small, 300, 98)
+    assert precision > 0.8 and recall > 0.7
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_viterbi_is_the_best_path(seed):
+    import itertools
+    import random
+
+    r = random.Random(seed)
+    import numpy as np
+
+    crf = Crf(3, {"a": 0, "b": 1}, np.array([[r.random() * 4 for _ in range(3)] for _ in range(2)]), np.array([[r.random() * 4 for _ in range(3)] for _ in range(3)]), np.array([r.random() for _ in range(3)]))
+    seq = [[r.choice("ab")] for _ in range(6)]
+    e = [sum((crf.w[crf.index[f]] for f in t), np.zeros(3)) for t in seq]
+    best = max(itertools.product(range(3), repeat=6), key=lambda p: crf.start[p[0]] + sum(e[i][y] for i, y in enumerate(p)) + sum(crf.t[a][b] for a, b in zip(p, p[1:])))
+    assert crf.viterbi([seq]) == [list(best)]
