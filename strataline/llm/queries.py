@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm import bpe, credentials, pieces
+from strataline.llm import bpe, credentials, pieces, prose
 from strataline.sources.tables import table, unique
 
 
@@ -42,3 +42,24 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_redacted": p4_redacted, "p7_ids": p7_ids}
 
 SQL = {"p3_found": "SELECT DISTINCT symbol_id FROM chunks WHERE octet_length(encode(code)) > 2000"}
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    s = prose.shares(unique(spark, d, "documents", "text"), table(spark, d, "common_words"))
+    return s.where("prose_share >= 0 and prose_share < 0.5").select("doc_id")
+
+
+def p9_stats(spark: SparkSession, d: str) -> DataFrame:
+    return prose.statistics(unique(spark, d, "documents", "text"), table(spark, d, "common_words"))
+
+
+QUERIES |= {"p9_found": p9_found, "p9_stats": p9_stats}
+
+SQL["p9_stats"] = r"""WITH d AS (SELECT doc_id, any_value(coalesce(text, '')) t FROM documents GROUP BY doc_id),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[\p{L}\p{N}_]+') w, list_filter(regexp_split_to_array(t, '\r\n|\n|\r'), lambda x: length(regexp_replace(x, '[\s\x0b]', '', 'g')) > 0) l,
+  length(regexp_replace(t, '[\s\x0b]', '', 'g')) n, length(regexp_replace(t, '[\s\x0b\p{L}\p{N}_]', '', 'g')) sym FROM d),
+c AS (SELECT list(DISTINCT lower(word)) c FROM common_words WHERE word IS NOT NULL)
+SELECT doc_id, len(w) AS word_count, CASE WHEN len(w) > 0 THEN round(list_sum(list_transform(w, lambda x: length(x))) / len(w), 6) ELSE 0.0 END AS mean_word_len,
+  CASE WHEN n > 0 THEN round(sym / n, 6) ELSE 0.0 END AS symbol_ratio,
+  CASE WHEN len(l) > 0 THEN round(len(list_filter(l, lambda x: regexp_matches(x, '[.!?:;…。！？]["''”’»)\]]*[\s\x0b]*$'))) / len(l), 6) ELSE 0.0 END AS punct_line_share,
+  CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: list_contains(c, lower(x)))) / len(w), 6) ELSE 0.0 END AS common_share FROM w, c"""
