@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm import bpe, credentials, pieces, prose
+from strataline.llm import bpe, credentials, pieces, prose, provenance
 from strataline.sources.tables import table, unique
 
 
@@ -63,3 +63,14 @@ SELECT doc_id, len(w) AS word_count, CASE WHEN len(w) > 0 THEN round(list_sum(li
   CASE WHEN n > 0 THEN round(sym / n, 6) ELSE 0.0 END AS symbol_ratio,
   CASE WHEN len(l) > 0 THEN round(len(list_filter(l, lambda x: regexp_matches(x, '[.!?:;…。！？]["''”’»)\]]*[\s\x0b]*$'))) / len(l), 6) ELSE 0.0 END AS punct_line_share,
   CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: list_contains(c, lower(x)))) / len(w), 6) ELSE 0.0 END AS common_share FROM w, c"""
+
+
+def p6_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.not_by_hand(table(spark, d, "files"), table(spark, d, "symbols"), table(spark, d, "chunks"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_reasons(spark, d).select("file_id")
+
+
+QUERIES |= {"p6_found": p6_found, "p6_reasons": p6_reasons}
