@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm import bpe, credentials, pieces, prose, provenance
+from strataline.llm import bpe, credentials, documented, mixture, pieces, prose, provenance
 from strataline.sources.tables import table, unique
 
 
@@ -74,3 +74,31 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p6_found": p6_found, "p6_reasons": p6_reasons}
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return documented.documented(table(spark, d, "symbols"), table(spark, d, "chunks"), table(spark, d, "files"), with_code=False).select("symbol_id")
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return documented.documented(table(spark, d, "symbols"), table(spark, d, "chunks"), table(spark, d, "files"))
+
+
+QUERIES |= {"p5_found": p5_found, "p5_pairs": p5_pairs}
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = unique(spark, d, "documents", "text", "source")
+    n = bpe.encode(docs.withColumn("k", F.struct("doc_id", "source")), "k", "text", count_only=True)
+    return mixture.mixture(n.select("k.doc_id", "k.source", "n_tokens"), table(spark, d, "mix_targets"))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0]
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[1]
+
+
+QUERIES |= {"p8_mixture": p8_mixture, "p8_report": p8_report}
