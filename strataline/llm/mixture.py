@@ -43,7 +43,7 @@ def key_of(source):
     return F.lower(F.trim(source))
 
 
-def mixture(tokens: DataFrame, targets: DataFrame, slots: int = SLOTS, buckets: int = 256, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mixture(tokens: DataFrame, targets: DataFrame, slots: int = SLOTS, bucket_rows: int = 20_000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(records, report).
 
     tokens: (doc_id, source, n_tokens), a row a record. targets: (source, target_share, max_repeats); rows with null source or share count for
@@ -60,10 +60,13 @@ def mixture(tokens: DataFrame, targets: DataFrame, slots: int = SLOTS, buckets:
     targets_of, repeats_of = {r.source: r.target_share for r in rows}, {r.source: r.max_repeats for r in rows}
     order = F.xxhash64("doc_id", F.lit(seed))
     docs = tokens.select("doc_id", key_of(F.col("source")).alias("source"), F.col("n_tokens").cast("long").alias("n")).withColumn("h", order)
-    docs, _ = materialize(docs.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(buckets))), "mix")
-    total = docs.agg(F.sum("n")).head()[0] or 0
+    docs, _ = materialize(docs, "mix")
+    total, n_docs = docs.agg(F.sum("n"), F.count("*")).head()
+    total = total or 0
+    # buckets grow with the corpus, so that each holds some bucket_rows records of a source at most
+    docs = docs.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(max(64, n_docs // bucket_rows))))
     use = docs.where((F.col("n") > 0) & F.col("source").isin(list(targets_of))) if targets_of else docs.limit(0)
-    # one row a source and bucket: at most MAX_SOURCES * buckets
+    # one row a source and bucket: a few numbers for every bucket_rows records
     sums = use.groupBy("source", "bucket").agg(F.sum("n").alias("s"))
     base = sums.withColumn("base", F.coalesce(F.sum("s").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     sizes = {r.source: r.s for r in sums.groupBy("source").agg(F.sum("s").alias("s")).collect()}

@@ -24,7 +24,7 @@ def run(spark, docs, targets, **kw):
 def test_shares_repeats_and_spread(spark):
     docs = [(i, ["Web", " web ", "WEB"][i % 3], 50 + i % 90, 0) for i in range(6000)] + [(10_000 + i, "books", 100, 0) for i in range(100)] + [(20_000 + i, None if i % 2 else "other", 100, 0) for i in range(500)]
     docs += [(30_000 + i, "wiki", 80 + i % 50, 0) for i in range(900)] + [(40_000, "wiki", 0, 0)]
-    rec, rep = run(spark, docs, [("web", 0.6, 1, 0), ("Books", 0.1, 3, 0), ("wiki", 0.25, 9, 0), ("none", 0.05, 2, 0), (None, 0.5, 1, 0)], slots=2000, buckets=8)
+    rec, rep = run(spark, docs, [("web", 0.6, 1, 0), ("Books", 0.1, 3, 0), ("wiki", 0.25, 9, 0), ("none", 0.05, 2, 0), (None, 0.5, 1, 0)], slots=2000, bucket_rows=500)
     total = sum(d[2] for d in docs)
     drawn = sum(r.n_tokens for r in rec)
     assert abs(drawn / total - 1) < 0.02
