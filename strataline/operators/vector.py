@@ -30,9 +30,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, weights: DataFram
     if size > MAX_QUERY_MB << 20:
         raise ValueError("split the questions: they don't fit the workers")
     rows = q.orderBy("query_id").collect()
-    ids = np.array([r.query_id for r in rows], dtype=np.int64)
     dim = len(rows[0].embedding) if rows else 0
-    mat = np.array([r.embedding for r in rows if len(r.embedding) == dim], dtype=np.float64).reshape(-1, dim)
+    rows = [r for r in rows if len(r.embedding) == dim]
+    ids = np.array([r.query_id for r in rows], dtype=np.int64)
+    mat = np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), dim)
     v = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") == dim)).select("vec_id", "embedding")
     if weights is not None:
         v = v.join(weights.select("vec_id", "weight"), "vec_id", "left").select("vec_id", "embedding", F.coalesce("weight", F.lit(1.0)).alias("weight"))
