@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strataline.functions.text import FULL, GENERIC, is_test_file
 
 # Directories a walk leaves out, and the largest file it takes.
-IGNORE_DIRS = "node_modules .git .brain .brains dist build out coverage .next .turbo .cache vendor".split()
+IGNORE_DIRS = "node_modules .git dist build out coverage .next .turbo .cache vendor".split()
 MAX_BYTES = 300 * 1024
 _MINIFIED = re.compile(r"\.min\.(?:js|css)$", re.I)
 MAX_CODE, MAX_SIGNATURE, MAX_DOC = 20_000, 160, 500

@@ -88,11 +88,11 @@ def test_walk_filters(spark, tmp_path):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text(text)
 
-    for p in ("src/a.js", "src/a b+c.py", "src/x.min.js", "node_modules/y.js", "src/z.bin", "logs/k.js", "keep/logs.js", "gen/a.py", "gen/keep.py", "brain.config.json", "src/__tests__/t.ts"):
+    for p in ("src/a.js", "src/a b+c.py", "src/x.min.js", "node_modules/y.js", "src/z.bin", "logs/k.js", "keep/logs.js", "gen/a.py", "gen/keep.py", "own.config.json", "src/__tests__/t.ts"):
         put(p)
     put("src/big.js", "x" * 400_000)
     put(".gitignore", "# no\nlogs/\n/gen/*\n!gen/keep.py\n")
-    df = list_files(spark, str(tmp_path), "r", own_config="brain.config.json")
+    df = list_files(spark, str(tmp_path), "r", own_config="own.config.json")
     assert {r.path for r in df.collect()} == {"src/a.js", "src/a b+c.py", "keep/logs.js", "gen/keep.py", "src/__tests__/t.ts"}
     h = {r.path: r for r in hashed(df).collect()}
     assert len(h["src/a.js"].hash) == 16 and h["src/a.js"].hash == h["keep/logs.js"].hash and h["src/__tests__/t.ts"].is_test and not h["src/a.js"].is_test
