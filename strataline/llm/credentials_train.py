@@ -13,7 +13,7 @@ import sys
 from strataline.llm.credentials import MODEL, PREFIX, features, tokens
 from strataline.llm.crf import Crf
 
-SAMPLE, HELD_OUT, SEED = 12_000, 2_000, 7
+SAMPLE, HELD_OUT, SEED = 16_000, 2_000, 7
 AL, HX, B64 = string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_letters + string.digits + "+/"
 
 
@@ -55,7 +55,7 @@ class Maker:
         a, b = self.w(), self.w()
         return r.choice([
             lambda: a.title() + b + d, lambda: a.title() + b + d + r.choice("!#%*?$"), lambda: f"{a.title()}{r.choice('-#!$.')}{d}{b}", lambda: f"{a.title()}{r.choice('.!')}{b}{r.choice('?$')}{d}", lambda: s(AL, r.randrange(10, 17)),
-            lambda: s(AL, r.randrange(8, 13)) + r.choice("!#$%") + s(AL, r.randrange(1, 4)), lambda: a.title() + d + r.choice("xyz"), lambda: a + d + b,
+            lambda: s(AL, r.randrange(8, 13)) + r.choice("!#$%") + s(AL, r.randrange(1, 4)), lambda: a.title() + d + r.choice("xyz"), lambda: a + d + b, lambda: s(string.ascii_letters, r.randrange(9, 16)) + s(string.digits, 1), lambda: s(string.ascii_letters, r.randrange(4, 9)) + s(string.digits, 2) + s(string.ascii_letters, r.randrange(2, 5)),
         ])()
 
     def dummy(self) -> str:
@@ -74,10 +74,10 @@ class Maker:
         q = self.r.choice("'\"")
         name2 = name.replace(".", "_").replace("-", "_")
         end = self.r.choice([";", ";", "", "; // rotate me", " # rotate me", ",", "; // " + self.w() + " of the " + self.w()])
-        form = self.r.randrange(18)
+        form = self.r.choice([*range(18), 9, 9])
         return [
             (f"const {name2} = {q}", q + end), (f"let {name2} = {q}", q + end), (f"  final String {name2} = \"", '"' + end), (f"    ${name2} = {q}", q + end), (f"{name2} = {q}", q), (f"    {name2} = {q}", q + end), (f"  \"{name}\": \"", '",'), (f"{name}: ", ""), (f"  {name}: \"", '"'),
-            (f"  <add key=\"{name}\" value=\"", '" />'), (f"brain.{name}=", ""), (f"{name2.upper()}=", ""), (f"export {name2.upper()}=\"", '"'), (f"var {name2} = {q}", q + end), (f"const {name2} = process.env.{self.w().upper()}_KEY || {q}", q + end),
+            (f"  <add key=\"{name}\" value=\"", '" />'), (f"{self.w()}.{name}=", ""), (f"{name2.upper()}=", ""), (f"export {name2.upper()}=\"", '"'), (f"var {name2} = {q}", q + end), (f"const {name2} = process.env.{self.w().upper()}_KEY || {q}", q + end),
             (f"{name2} = os.environ.get('{self.w().upper()}', {q}", q + ")"), (f"  public static {name2} = {q}", q + end), (f"{name2}={q}", q + ")"),
         ][form]
 
@@ -87,7 +87,7 @@ class Maker:
         p = self.password()
         t = self.token()
         v = r.choice([p, t, t])
-        u = r.choice(["ci_runner", "svc_index", "brain_rw", "ops_batch", "reporter", "replica_user", "admin", "root", self.w()])
+        u = r.choice(["ci_runner", "svc_index", "app_rw", "ops_batch", "reporter", "replica_user", "admin", "root", self.w()])
         host = f"{self.w()}{r.randrange(9)}.{self.w()}.example"
         c = r.choice(["// ", "# ", "-- ", " * ", ""])
         start = r.choice([f"const {self.name()} = {q}", f"{self.name()} = {q}", f"    ${self.name()} = {q}", f"    final String {self.name()} = {q}"])
