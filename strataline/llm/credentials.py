@@ -1,6 +1,7 @@
 """Credentials in source text: found by a conditional random field over lexical tokens, redacted in place.
 
-Whole texts are scanned for runs that could be a value (letters and digits mixed, or a private key's BEGIN line). Around each, the logical
+Whole texts are scanned for runs that could be a value (letters and digits mixed, or a private key's BEGIN line), and for what announces one whatever its
+shape: a secret name, an auth word, userinfo of an address. Around each, the logical
 line (string concatenations over several lines joined, a key block whole, very long lines as a window on either side) is cut into tokens,
 each with features of shape, run and context; Viterbi labels tell which tokens are a value. A row's text is never cut off, and
 nothing outside the labelled tokens changes.
@@ -33,9 +34,11 @@ _END = re.compile(r"-{5}END [A-Z ]*PRIVATE KEY-{5}")
 _SUB = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 #: Names that announce a secret, in six languages, and names that announce another opaque value.
 SECRET = set("password passwd pass pwd passphrase passcode secret secrets token key apikey credential credentials creds auth bearer basic authorization private signing sig senha contrasena clave mot passe kennwort passwort parola login".split())
+#: Of these, the names whose value people choose, so that it may be a plain word.
+CHOSEN = set("password passwd pass pwd passphrase passcode secret senha contrasena clave passe kennwort passwort parola".split())
 OPAQUE = set("etag commit revision integrity checksum digest hash sha sha256 sha512 md5 build uuid id icon image data public pub version cache blob draft nonce rev fingerprint resolved".split())
 PREFIX = ("ghp_", "gho_", "ghs_", "ghu_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "sk_test_", "rk_live_", "AKIA", "ASIA", "eyJ", "AIza", "npm_", "pypi-", "SG.")
-DUMMY = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|changeme|change[-_]?me|replace[-_]?(?:me|this)?|todo|example[-_]?only|insert[-_].*|your[-_].*|dummy|placeholder|<.*>|test|none|null|undefined|redacted|secret|password)$")
+DUMMY = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|changeme|change[-_]?me|replace[-_]?(?:me|this)?|todo|example[-_]?only|insert[-_].*|your[-_].*|dummy|placeholder|<.*>|test|none|null|undefined|redacted|secret|password|[A-Za-z0-9_\-]*(?:x{6,}[A-Za-z0-9_\-]*|example))$")
 
 
 def is_sum(run: str) -> bool:
@@ -57,39 +60,74 @@ def _join(line: str, after: str) -> bool:
     return (a[-1] in "\"'" and (b[0] in "\"'" or b[:1] in "+." and b[1:].lstrip()[:1] in tuple("\"'"))) or (a[-1] == "(" and b[0] in "\"'")
 
 
+def announced(text: str) -> list[tuple[int, int]]:
+    """Where a secret name, an auth word or the userinfo of an address stands."""
+    low = text.lower()
+    if len(low) == len(text):
+        at = []
+        for w in _STEMS:
+            i = low.find(w)
+            while i >= 0:
+                at.append((i, i + len(w)))
+                i = low.find(w, i + len(w))
+        at.sort()
+    else:  # some capitals are longer in lower case
+        at = [m.span() for m in _HOT.finditer(text)]
+    if "://" in text:
+        at = sorted(at + [m.span() for m in _USERINFO.finditer(text)])
+    out: list[tuple[int, int]] = []
+    upto = 0  # the end of the name seen last
+    for a, b in at:
+        if b <= upto:
+            continue
+        if text[a].isalpha():  # the whole name tells
+            first, last = max(0, a - WINDOW), min(len(text), b + WINDOW)
+            while a > first and (text[a - 1].isalnum() or text[a - 1] == "_"):
+                a -= 1
+            while b < last and (text[b].isalnum() or text[b] == "_"):
+                b += 1
+            upto = b
+            if not text[a:b].isascii() or text[a:b].lower() not in _AUTH and _kind(text[a:b]) in ("-", "other", "opaque"):
+                continue
+        out.append((a, b))
+    return out
+
+
 def windows(text: str, dull: set[str]) -> list[tuple[int, int]]:
-    """The spans that are worth labelling. dull: runs known not to be, kept over calls."""
+    """The spans that are worth labelling. dull: runs known not to be, kept over calls; they count where nothing announces a value."""
     runs = set(RUN.findall(text))
     runs -= dull
     new = {r for r in runs if not maybe(r)}
     dull |= new
     runs -= new
     key = "PRIVATE KEY-----" in text
-    if not runs and not key:
+    seeds = announced(text)
+    if runs:
+        seeds = sorted(seeds + [m.span() for m in RUN.finditer(text) if m.group() in runs])
+    if not seeds and not key:
         return []
     spans = []
     a = b = -1
-    for m in RUN.finditer(text) if runs else ():
-        if m.group() in runs:
-            if m.start() < b:  # the same logical line
-                spans.append((max(a, m.start() - WINDOW), min(b, m.end() + WINDOW)))
-                continue
-            a = text.rfind("\n", 0, m.start()) + 1
-            b = text.find("\n", m.end())
-            b = len(text) if b < 0 else b
-            while a > 0:
-                up = text.rfind("\n", 0, a - 1) + 1
-                here = text.find("\n", a)
-                if not _join(text[up : a - 1], text[a : here if here >= 0 else len(text)]):
-                    break
-                a = up
-            while b < len(text):
-                down = text.find("\n", b + 1)
-                down = len(text) if down < 0 else down
-                if not _join(text[text.rfind("\n", 0, b) + 1 : b], text[b + 1 : down]):
-                    break
-                b = down
-            spans.append((max(a, m.start() - WINDOW), min(b, m.end() + WINDOW)))
+    for start, end in seeds:
+        if start < b:  # the same logical line
+            spans.append((max(a, start - WINDOW), min(b, end + WINDOW)))
+            continue
+        a = text.rfind("\n", 0, start) + 1
+        b = text.find("\n", end)
+        b = len(text) if b < 0 else b
+        while a > 0:
+            up = text.rfind("\n", 0, a - 1) + 1
+            here = text.find("\n", a)
+            if not _join(text[up : a - 1], text[a : here if here >= 0 else len(text)]):
+                break
+            a = up
+        while b < len(text):
+            down = text.find("\n", b + 1)
+            down = len(text) if down < 0 else down
+            if not _join(text[text.rfind("\n", 0, b) + 1 : b], text[b + 1 : down]):
+                break
+            b = down
+        spans.append((max(a, start - WINDOW), min(b, end + WINDOW)))
     if key:
         for m in BEGIN_PRIVATE.finditer(text):
             a = max(text.rfind("\n", 0, m.start()) + 1, m.start() - WINDOW)
@@ -130,8 +168,12 @@ _TURN = re.compile(r"(?=[a-zA-Z]\d|\d[a-zA-Z]|[a-z][A-Z]|[A-Z][a-z])")
 _NAMED = re.compile(r"[A-Za-z_\-]*=(?=[^=])")
 _BEFORE = re.compile(r"[\"'`]([^\"'`\s]{4,})[\"'`]\s*[+.]?\s*\n\s*[\"'`]$")
 _EXPR = re.compile(r"[\w.$=!&|?:]*[A-Za-z_$][\w.$]*[+*\-]\d{1,4}")
-_SUM = re.compile(r"[A-Za-z_][\w.]*\+\d{1,4}")
+_SUM = re.compile(r"[A-Za-z_]\w{0,99}\.\w{1,99}\+\d{1,4}\b")  # without quotes, a reference and a number
 _WORD = re.compile(r"[^\W\d_]")
+_AUTH = set("pw connect authenticate signin".split())
+_STEMS = tuple(sorted(w for w in SECRET | _AUTH | {" -u "} if not any(v != w and v in w for v in SECRET | _AUTH)))
+_HOT = re.compile("(?i)" + "|".join(map(re.escape, _STEMS)))
+_USERINFO = re.compile(r"://[^/@\s:]{1,200}:[^/@\s]{1,200}@")
 
 
 @lru_cache(maxsize=200_000)
@@ -162,6 +204,10 @@ def _run_features(run: str) -> tuple[str, ...]:
         f.append("rspec")
     if let and dig and len(run) >= 8 and not any(x[:4] in ("ruui", "rhex", "rnam", "rdum", "rurl", "rvar", "rexp") for x in f):
         f.append("rval")  # mixed, and none of the above
+    if any(x.lower() in SECRET for x in _SUB.findall(run[:WINDOW])):
+        f.append("rsec")  # speaks of a secret itself, as names of settings do
+    if run.startswith(("./", "/", "../")):
+        f.append("rpath")
     if let and dig:
         t = len(re.findall(r"[A-Z][a-z]|[a-z]\d|\d[A-Za-z]|[a-z][A-Z]", run))
         f.append("rturn" + ("0" if t < 2 else "1" if t < 4 else "2" if t < 8 else "3"))
@@ -182,6 +228,13 @@ def _kind(word: str) -> str:
     return "other"
 
 
+@lru_cache(maxsize=100_000)
+def _chosen(word: str) -> str:
+    """Whether a name ends in, has, or lacks a word for something people choose."""
+    subs = [s.lower() for s in _SUB.findall(word)]
+    return "end" if subs and subs[-1] in CHOSEN else "in" if any(s in CHOSEN for s in subs) else "no"
+
+
 _PREFIX = re.compile("|".join(map(re.escape, PREFIX)))
 _NEAR = set("bearer basic u login creds user password pwd secret services env environ getenv / : @".split())
 
@@ -210,10 +263,10 @@ def features(s: str, spans: list[tuple[int, int]]) -> list[list[str]]:
     runs = [(m.start(), m.end()) for m in _VALUE.finditer(s)]
     last = len(spans) - 1
     out: list[list[str]] = []
-    at, run, own, pre, pem, quote = -1, "", (), False, "", ""
+    at, run, own, pre, pem, quote, named, plain = -1, "", (), False, "", "", "no", False
     hot = s.lstrip()[:2]
     comment = "c1" if hot[:1] in ("#", "*") or hot in ("//", "--", "/*") or "//" in s.replace("://", "") else "c0"
-    seen_secret, name_kind, before_name = "n", "none", "none"
+    seen_secret, name_kind, before_name, chosen, sign = "n", "none", "none", "no", ""
     no = ("^", "", "^", "^", False, "", False, False, "")
     for i, (a, b) in enumerate(spans):
         w, x = word[i], info[i]
@@ -223,6 +276,7 @@ def features(s: str, spans: list[tuple[int, int]]) -> list[list[str]]:
             at += 1
             run = s[runs[at][0] : runs[at][1]]
             own = _run_features(run)
+            named, plain = chosen, "rname" in own and "rsec" not in own
             pre = bool(_PREFIX.match(run))
         if w.startswith("-----BEGIN"):
             pem = ("priv" if "PRIVATE" in w else "pub") if _BODY.match(s, b) else "talk"
@@ -234,6 +288,7 @@ def features(s: str, spans: list[tuple[int, int]]) -> list[list[str]]:
         if at >= 0 and a < runs[at][1]:
             start = runs[at][0]
             f += own
+            f += [f"ch{named}{own[1]}", f"ch{named}{own[1]}q{quote}{sign}", f"ch{named}{plain}q{quote}{sign}", f"ch{named}{own[0]}", f"n{n1}ch{named}q{quote}"]
             f += ["x" + name_kind + y for y in own[:2]] + ["q" + quote + y for y in own[1:3]] + [f"{y}&k{name_kind}" for y in own[2:]]
             off = a - start
             if off == 0:
@@ -265,16 +320,23 @@ def features(s: str, spans: list[tuple[int, int]]) -> list[list[str]]:
         # context for the tokens that follow
         if w in ("'", '"', "`"):
             quote = "" if quote == w else quote or w
+            if not quote:
+                sign = ""
         elif x[6]:
-            k = _kind(w)
+            k = _kind(w) if (not a or s[a - 1].isascii() or not s[a - 1].isalpha()) else "other"  # else the end of a word
             if k != "-":
                 before_name, name_kind = name_kind, k
+                if not quote or k != "other":
+                    chosen, sign = _chosen(w), ""
                 if k in ("secret", "both"):
                     seen_secret = "s"
                 elif k.startswith("weak") and seen_secret == "n":
                     seen_secret = "w"
         elif w in (";", "{", "&"):
             name_kind = before_name = "none"
+            chosen, sign = "no", ""
+        elif w in ("=", ":", "=>", "(", ".", "?"):
+            sign = w
         elif w.startswith("-----END"):
             pem = ""
     return out
@@ -311,12 +373,12 @@ class Finder:
                         x[0] = m.end()
                     while x[1] < len(s) and s[x[1]] not in _STOP and not s[x[1]].isspace():
                         x[1] += 1
-            self.known[s] = tuple((a, b) for (a, b), (c, _) in zip(found, [*found[1:], [len(s), 0]]) if self.real(s[a:b]) and b <= c)
+            self.known[s] = tuple((a, b) for (a, b), (c, _) in zip(found, [*found[1:], [len(s), 0]]) if self.real(s[a:b]) and b <= c and not (_SUM.match(s, a) and s[a - 1 : a] not in tuple("\"'`")))
 
     @staticmethod
     def real(v: str) -> bool:
-        """The exact check: a value has six characters at least and is no bare word."""
-        return len(v) >= 6 and not DUMMY.match(v) and not (len(v) <= 200 and _SUM.fullmatch(v)) and (v.startswith("-----BEGIN") or bool(re.search(r"\d", v)) or len(v) >= 16)
+        """The exact check: a value is no placeholder; its shape is the model's business."""
+        return bool(v) and not DUMMY.match(v)
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         if len(self.dull) > 4 * KEPT:

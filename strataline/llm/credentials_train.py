@@ -10,7 +10,7 @@ import random
 import string
 import sys
 
-from strataline.llm.credentials import MODEL, PREFIX, features, tokens
+from strataline.llm.credentials import MODEL, PREFIX, _chosen, features, tokens
 from strataline.llm.crf import Crf
 
 SAMPLE, HELD_OUT, SEED = 16_000, 2_000, 7
@@ -58,6 +58,47 @@ class Maker:
             lambda: s(AL, r.randrange(8, 13)) + r.choice("!#$%") + s(AL, r.randrange(1, 4)), lambda: a.title() + d + r.choice("xyz"), lambda: a + d + b, lambda: s(string.ascii_letters, r.randrange(9, 16)) + s(string.digits, 1), lambda: s(string.ascii_letters, r.randrange(4, 9)) + s(string.digits, 2) + s(string.ascii_letters, r.randrange(2, 5)),
         ])()
 
+    def plain(self) -> str:
+        """What people choose: words, a word with a number, something short."""
+        r, s = self.r, self.s
+        a, b, c = (self.w() for _ in range(3))
+        n = s(string.digits, r.choice([1, 2, 2, 3]))
+        return r.choice([
+            lambda: a + b, lambda: a + b + c, lambda: a.title() + b.title(), lambda: s(string.ascii_letters, r.randrange(7, 15)), lambda: a + b + n, lambda: a + n, lambda: f"{a.title()}{r.choice('-*+_')}{s(string.digits, 4)}", lambda: f"{a.title()}{r.choice('-*+')}{n}",
+            lambda: s(AL, r.randrange(5, 8)), lambda: a.title() + b + r.choice("!?$#"), lambda: r.choice("-_.").join([a, b, c, self.w()][: r.choice([3, 4, 4])]),
+        ])()
+
+    def chosen_name(self) -> str:
+        while not (n := self.secret_name()) or _chosen(n.replace(".", "_").replace("-", "_")) != "end":
+            pass
+        return n
+
+    def plain_negative(self) -> str:
+        """Plain words beside secret names that are no values."""
+        r = self.r
+        a, b, c = (self.w() for _ in range(3))
+        n, q = self.secret_name().replace(".", "_").replace("-", "_"), r.choice("'\"")
+        m, p = r.choice(["Field", "Label", "Hint", "Type", "Name", "Input", "Error", "Key", "Header", "Policy", "Rule"]), r.choice(["password", "passwd", "secret", "pwd", "token", "auth", "apiKey"])
+        t = r.choice(["token", "key", "auth", "login", "secret"])
+        if r.random() < 0.4:  # code that only carries such words
+            t, types = r.choice([t, "token", "token", n]), ["String", "string", "int", "long", "bool", "boolean", "List<String>", a.title(), b.title() + c.title()]
+            args = ", ".join(f"{r.choice(types)} {self.w()}" for _ in range(r.randrange(3)))
+            minified = "".join(r.choice([f"!function({self.s('abcm', 1)}){{\"use strict\";{self.s('abc', 1)}.{self.w()}={self.s('abc', 1)}.{t}+{r.randrange(300)}}}({self.s('rxu', 1)});", f"{self.s('dmnp', 1)}.{self.name()}=function({self.s('ab', 1)},{self.s('kj', 1)}){{for(var c=0;c<{self.s('ab', 1)}.length;c++){self.s('jk', 1)}.push({self.s('ab', 1)}[c])}};", f"if({self.s('abc', 1)}&&!{self.s('ruz', 1)})throw new Error(\"{r.choice([t, self.w()])}\");", f"var {self.s('ck', 1)}={self.s('uy', 1)}||{{}},{self.s('gjk', 1)}=[];", f"{self.s('ehg', 1)}={self.s('gnp', 1)}=>{self.s('rtp', 1)}({self.s('gnp', 1)},{r.randrange(300)}),", f"function {self.s('b', 1)}(s){{return s.{r.choice([t, self.w()])}?{self.s('g', 1)}(s,2):void 0}}"]) for _ in range(r.randrange(2, 16)))
+            typed = [f"{x}: {r.choice([a.title() + b.title(), c.title(), 'number', 'string', f'Map<string,{c}>', c.title() + '[]'])}" for x in (t, self.w(), self.w())[: r.randrange(1, 4)]]
+            r.shuffle(typed)
+            return r.choice([
+                f"{r.choice(['', 'async ', 'function ', 'async function '])}{self.name()}({', '.join(typed)}) {{", f"{r.choice(['', 'async ', 'function ', 'async function '])}{self.name()}({', '.join(typed)}) {{", f"{a}.{b}.{r.choice(['token', 'key', 'auth'])}={r.randrange(9999)}",
+                f"private {r.choice(['', '', 'static ', 'final ', 'readonly ', 'async '])}{r.choice(types)} {self.name()}({args}) {{", f"private {r.choice(['', 'static ', 'final ', 'readonly '])}{r.choice(types)} {self.name()}{r.choice([';', f' = {c};', ' = 0;', f': {a.title()};'])}", f"private function {self.name()}(${a}, ${b})", f"{r.choice(['const ', 'let ', 'var ', '$', '', '', a + '.', 'this.'])}{t} {r.choice(['=', '=', ':='])} {self.name()}({r.choice(['', '$', ''])}{c}){r.choice([';', ''])}",
+                f"{r.choice(['const ', '$', '', a + '.', ''])}{self.name()} {r.choice(['=', ':='])} {self.name()}({r.choice(['', '$'])}{t}){r.choice([';', ''])}", f"{r.choice(['const ', '$', '', ''])}{self.name()} = {b}.{self.name()}({t}, {self.name()}){r.choice([';', ''])}", f"{t} = {self.name()}{r.choice(['.' + self.name(), '[' + c + ']', ''])}{r.choice([';', ''])}", f"return {self.name()}({t}, {c}){r.choice([';', ''])}", minified, minified,
+            ])
+        return r.choice([
+            f"const {p}{m} = {q}{a}{r.choice(['', '-' + b, b.title(), ' ' + b])}{q};", f"  {p}{m}: {q}{a.title()} {b}{q},", f"<add key=\"{a}_{t}\" value=\"{r.choice([b, f'./{b}/{c}', t])}\" />", f"{a}_{t} = {q}{r.choice([b, f'./{b}/{c}'])}{q}", f"{a}.{t}={r.choice(['./', ''])}{b}/{c}", f"  {a}_{t}: {r.choice(['./', ''])}{b}/{c}",
+            f"  {a}_{t}: {b}", f"{a}.{b}.{t}={c}", f"type: {q}{p}{q},", f"<input type=\"{p}\" name=\"{r.choice([a, p])}\" placeholder=\"{a.title()} {b}\">", f"  \"{a}_{b}/{c}-{t}\": {{", f"{{ key: {q}{a}{q}, label: {q}{b.title()} {c}{q} }},", f"  {n}: {r.choice(['string', 'String', a, a.title(), a + '.' + n, a + b.title()])}{r.choice([';', ',', ''])}",
+            f"{n} = {r.choice([a, a + '.' + b, f'{a}.{b}({c})', f'{a}({n})', 'null', 'None', 'true', f'new {a.title()}()'])}{r.choice([';', ''])}", f"{a}({q}{t}.{b}{q}, {c});", f"{a}.{b} = {c}.{self.name()}({n});", f"throw new Error({q}{a.title()} {p} {b}{q});", f"if ({n} === {q}{q} || {n} == {a}) {{", f"form.get({q}{p}{q}).set({q}{a}{q});",
+            f"@param {p} the {a} {b} of the {c}", f"// the {p} is {a} {r.choice(['in', 'by', 'from', 'of'])} {b} and {c}", f"# {a} {b} {p} {r.choice(['for', 'of', 'and'])} {c}", f"def {a}_{t}({b}, {n}):", f"{a}.{r.choice(['login', 'connect', 'auth', 'authenticate'])}({b}, {n});", f"{a}.{r.choice(['connect', 'login'])}({q}{b}{q});", f"case {q}{p}{q}: return {a}.{b};",
+            f"{a}.setItem({q}{p}{r.choice(['', '_' + b])}{q}, {c});", f"{n} == {q}{a}{q}", f"\"{p}\": {{ \"type\": \"{a}\", \"title\": \"{b.title()}\" }}", f"${n} = ${a}->{b}(${c});", f"$this->{n} = ${n};", f"const {self.name()} = {{ {p}: {a}.{b}, {c} }};", f"https://{a}.example/{p}/{b}?{c}={a}", f"const {a} = {q}{b}{q}; // {p} {c}", f"import {{ {p} }} from {q}./{a}/{b}{q};",
+        ])
+
     def dummy(self) -> str:
         return self.r.choice(["changeme", "xxxxxxxx", "<secret>", "REPLACE_ME", "YOUR_PASSWORD_HERE", "example-only", "insert-key-here", "your-api-key", "", "${DB_PASSWORD}", "${VAULT_TOKEN}", "{{ .Values.token }}", "$CLIENT_SECRET", "%(password)s", "vault:secret/data/app", "x-secret-name", "api_key_header", "session-password-field", "placeholder", "********", "TODO", "<your token>", "{{ lookup('env', 'TOKEN') }}", "x-api-key", "auth_token_v2", "password_field_2"])
 
@@ -94,6 +135,13 @@ class Maker:
         end = q + r.choice([";", "", ")", ");"])
         k = min(r.randrange(19), 16) if r.random() < 0.93 else 14
         if k <= 4:
+            if r.random() < 0.3:
+                a, b = self.assign(self.chosen_name(), "")
+                quoted = a[-1] in "'\""
+                v = " ".join(self.w() for _ in range(r.randrange(3, 6))) if quoted and r.random() < 0.12 else self.plain()
+                while not quoted and a[-1] != "=" and not (v[-1].isdigit() and len(v) > 7):  # elsewhere a bare word is a name
+                    v = self.plain()
+                return a + v + b, [(len(a), len(a) + len(v))]
             a, b = self.assign(self.secret_name(), v)
             if r.random() < 0.15 and len(v) > 10 and a[-1] in "'\"":  # joined from two literals
                 cut = r.randrange(4, len(v) - 3)
@@ -119,6 +167,10 @@ class Maker:
         }[k]
         if k in (5, 6, 7, 8, 9, 10, 15):
             v = p if r.random() < 0.9 or k == 15 else t
+            if r.random() < 0.35 and not (k == 15 and " is " in pre):
+                v = self.plain()
+            if k == 9 and "opts" in pre:
+                v = p
         elif k == 12:
             v = self.s(B64, r.randrange(20, 44)) + r.choice(["", "=", "=="])
         elif k == 14:
@@ -153,6 +205,8 @@ class Maker:
 
     def negative(self) -> tuple[str, list]:
         r = self.r
+        if r.random() < 0.35:
+            return self.plain_negative(), []
         k = r.randrange(20)
         q = r.choice("'\"")
         if k < 4:
