@@ -203,3 +203,14 @@ def test_empty_tables(spark):
     m = relations.model_edges(e, sym)
     for df in (m, relations.fan_counts(m), relations.class_members(sym), relations.containers(sym), A.degrees(e), A.rolled_counts(m, sym), A.directory_weights(sym, files), A.dense_index(sym), A.snapshot(e, sym), A.landmarks(relations.fan_counts(m), sym, files)):
         assert df.collect() == []
+
+
+def test_short_terms_match_inside_names_and_begin_tokens(spark):
+    s = spark.createDataFrame([(1, "js"), (2, "jsLoader"), (3, "parseJs"), (4, "x"), (5, "ajax"), (6, None), (7, "")], "id long, name string")
+    q = spark.createDataFrame([(1, 0, "js"), (2, 0, "x"), (3, 0, "")], "query_id long, g int, term string")
+    got = [tuple(r)[:1] + tuple(r)[2:] for r in lexical.by_name(q, s).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 0, 1), (1, 2, 1, 2), (1, 3, 2, 3), (2, 4, 0, 1), (2, 5, 2, 2)]
+    assert [r.symbol_id for r in lexical.by_name(q, s, strong=True).where("query_id = 1").orderBy("rank").collect()] == [1, 2]
+    docs = spark.createDataFrame([(1, "json body"), (2, "js"), (3, "ajs"), (4, None)], "id long, text string")
+    b = lexical.bm25(spark.createDataFrame([(1, "js"), (2, "b")], "query_id long, text string"), docs, "id", ["text"])
+    assert sorted((r.query_id, r.doc) for r in b.collect()) == [(1, 1), (1, 2), (2, 1)]
