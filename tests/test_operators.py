@@ -214,3 +214,14 @@ def test_short_terms_match_inside_names_and_begin_tokens(spark):
     docs = spark.createDataFrame([(1, "json body"), (2, "js"), (3, "ajs"), (4, None)], "id long, text string")
     b = lexical.bm25(spark.createDataFrame([(1, "js"), (2, "b")], "query_id long, text string"), docs, "id", ["text"])
     assert sorted((r.query_id, r.doc) for r in b.collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_compound_terms_match_side_by_side_and_in_parts(spark):
+    rows = [(1, "getDomainTokenHeader()", "get domain token header"), (2, "token of a domain", None), (3, "domainToken2", ""), (4, "x user_token_id", None), (5, "user and token", None), (6, "user_tokens", "user tokens"), (7, "y", "token domain"), (8, "user", "token")]
+    c = spark.createDataFrame(rows, "id long, code string, parts string")
+    q = spark.createDataFrame([(1, "domainToken"), (2, "user_token"), (3, "domain token")], "query_id long, text string")
+    b = lexical.bm25(q, c, "id", ["code", "parts"], and_only=True).collect()
+    assert sorted((r.query_id, r.doc) for r in b) == [(1, 1), (1, 3), (2, 4), (2, 6), (3, 1), (3, 2), (3, 7)]
+    assert all(r.score > 0 for r in b)
+    # columns without parts have the term alone
+    assert sorted((r.query_id, r.doc) for r in lexical.bm25(q, c, "id", ["code"], and_only=True).collect()) == [(1, 3), (2, 4), (2, 6), (3, 2)]
