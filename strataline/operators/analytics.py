@@ -66,13 +66,15 @@ def lower_nearest(df: DataFrame, group: str, value: str, p: float) -> DataFrame:
 
 
 def viewer_search(queries: DataFrame, symbols: DataFrame, files: DataFrame, fans: DataFrame, most: int = 30) -> DataFrame:
-    """(query_id, id, score, rank) for questions (query_id, q), each a word: exact, prefix, word start, in the name, in the path; popular symbols first among equals.
+    """(query_id, id, score, rank) for questions (query_id, q): each word between blanks must match, exact, prefix, word start, in the name, in the path, and their scores add up
+    (a repeated word counts again); popular symbols first among equals.
 
-    The words meet the distinct lower-case names and paths in blocks (a stated set of questions against all rows).
+    The distinct words meet the distinct lower-case names and paths in blocks (a stated set of questions against all rows).
     """
     from strataline.functions.text import word_start
 
-    q = queries.select("query_id", F.lower("q").alias("q")).where("q != ''")
+    q = queries.select("query_id", F.explode(F.split(F.lower("q"), r"\s+")).alias("q")).where("q != ''").groupBy("query_id", "q").agg(F.count("*").alias("times"))
+    q = q.withColumn("n_words", F.count("*").over(Window.partitionBy("query_id")))
     words = q.select("q").distinct()
     names = symbols.select("name").distinct()
     n, t = F.lower("name"), F.col("q")
@@ -82,7 +84,8 @@ def viewer_search(queries: DataFrame, symbols: DataFrame, files: DataFrame, fans
     a = hit_name.join(symbols.select("id", "name"), "name").select("q", "id", "s")
     b = hit_path.join(symbols.select("id", "file_id"), "file_id").select("q", "id", F.lit(15).alias("s"))
     best = a.unionByName(b).groupBy("q", "id").agg(F.max("s").alias("s"))
-    j = q.join(best, "q").join(fans.select("id", "fan_in"), "id", "left").join(symbols.select("id", F.length("name").alias("len")), "id")
+    each = q.join(best, "q").groupBy("query_id", "n_words", "id").agg(F.sum(F.col("s") * F.col("times")).alias("s"), F.count("*").alias("matched")).where("matched = n_words")
+    j = each.join(fans.select("id", "fan_in"), "id", "left").join(symbols.select("id", F.length("name").alias("len")), "id")
     j = j.withColumn("score", F.round(F.col("s") + F.log(1 + F.coalesce("fan_in", F.lit(0.0))), 6))
     return j.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "len", "id"))).where(F.col("rank") <= most).select("query_id", "id", "score", "rank")
 

@@ -49,7 +49,7 @@ def line_percentiles(spark, d):
 
 def viewer_search(spark, d):
     _, s, f, m = _m(spark, d)
-    q = s.where("id % 100 = 0 and name is not null").select(F.col("id").alias("query_id"), F.lower(F.left("name", F.lit(6))).alias("q")).where("q not like '% %'")
+    q = s.where("id % 100 = 0 and name is not null").select(F.col("id").alias("query_id"), F.col("name").alias("q"))
     return A.viewer_search(q, s, f, R.fan_counts(m)).withColumn("rank", F.col("rank").cast("long"))
 
 

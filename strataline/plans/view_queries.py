@@ -47,7 +47,7 @@ def highlighted_edges(spark, d):
 
 def lookup(spark, d):
     s, f = unique(spark, d, "symbols", "file_id", "name", "kind"), unique(spark, d, "files", "path")
-    return V.lookup(s.where("id % 100 = 0 and name is not null").select(F.col("id").alias("query_id"), F.left("name", F.lit(5)).alias("q")), s, f)
+    return V.lookup(s.where("id % 100 = 0 and name is not null").select(F.col("id").alias("query_id"), F.col("name").alias("q")), s, f)
 
 
 def inspector(spark, d):

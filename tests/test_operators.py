@@ -225,3 +225,12 @@ def test_compound_terms_match_side_by_side_and_in_parts(spark):
     assert all(r.score > 0 for r in b)
     # columns without parts have the term alone
     assert sorted((r.query_id, r.doc) for r in lexical.bm25(q, c, "id", ["code"], and_only=True).collect()) == [(1, 3), (2, 4), (2, 6), (3, 2)]
+
+
+def test_viewer_search_needs_every_word(spark):
+    s = spark.createDataFrame([(1, 10, "loadToken"), (2, 10, "token"), (3, 20, "loadToken"), (4, 20, "load")], "id long, file_id long, name string")
+    f = spark.createDataFrame([(10, "src/cache.js"), (20, "src/other.js")], "id long, path string")
+    fans = spark.createDataFrame([(4, 0.0)], "id long, fan_in double")
+    q = spark.createDataFrame([(1, "Token  cache"), (2, "load"), (3, "load load"), (4, "token nowhere"), (5, " ")], "query_id long, q string")
+    got = {(r.query_id, r.id): r.score for r in A.viewer_search(q, s, f, fans).collect()}
+    assert got == {(1, 1): 75.0, (1, 2): 115.0, (2, 1): 80.0, (2, 3): 80.0, (2, 4): 100.0, (3, 1): 160.0, (3, 3): 160.0, (3, 4): 200.0}
