@@ -1,8 +1,9 @@
 """Files that nobody wrote by hand: generated, minified, copied from third parties, or data stored as code.
 
-Directories are hashed bottom-up as Merkle trees; a subtree that occurs in unrelated repositories is a copy. The hash of a directory is a
-sum over its children, so that the combining is map-side and a directory with a third of all files is no heavy group. Headers, layout and place
-of each file settle the rest.
+Directories are hashed bottom-up as Merkle trees; a subtree that occurs in unrelated repositories is a copy. A leaf is the file's text without the
+notices at its ends, blanks and case, so that copies under another licence header, with other line ends or indentation still meet; without text it is the stored content hash. The hash of
+a directory is a sum over its children, so that the combining is map-side and a directory with a third of all files is no heavy group. Notices at the head
+and the end, layout and place of each file settle the rest.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataline.session import materialize
+
 #: Directories that hold third-party copies, directories tools write into, lock files, and files with the marks of a generator in their name.
 VENDOR_DIRS = "node_modules bower_components jspm_packages third_party third-party thirdparty vendor _vendor vendored deps external site-packages Pods Carthage".split()
 TOOL_DIRS = "dist out gen generated generated-sources __generated__ _generated autogen target".split()
@@ -24,7 +28,7 @@ _MIN_NAME = re.compile(r"[.\-_]min\.\w+$", re.I)
 _VERSION_NAME = re.compile(r"[A-Za-z][\w.]*-\d+\.\d+(?:\.\d+)?(?:[.\-](?:min|prod|slim))?\.\w+$")
 
 _SAID = re.compile(
-    r"code generated\b|do not (?:edit|modify)|@generated\b|<auto-?generated|\bauto-?generated (?:by|file|from|code|with)|^\W*auto-?generated\b(?! method)|generated (?:by|from|with|automatically)\b(?!.*\bare\b)|automatically (?:generated|created|produced)|machine generated|(?:will be|are) (?:overwritten|lost)"
+    r"code generated\b|do not (?:edit|modify)|\b(?:machine|tool|auto)[\- ]?(?:made|written|produced|created|generated)\b(?! method)|\b(?:produced|emitted|written) by (?:a tool|the (?:compiler|generator|build)\b)|\boutput of [\w.\-]+(?: [\d.]+)?; (?:source|from|input)\b|changes? made here (?:will be|are)|@generated\b|<auto-?generated|\bauto-?generated (?:by|file|from|code|with)|^\W*auto-?generated\b(?! method)|(?:^\W*|\b(?:file|code|source|module|class|content|output|parser|bindings?|client)\b[^\n.]{0,40}\b)generated (?:by|from|with|automatically)\b(?!.*\bare\b)|automatically (?:generated|created|produced)|machine generated|(?:will be|are) (?:overwritten|lost)"
     r"|automatisch (?:erzeugt|generiert)|nicht (?:von hand )?(?:bearbeiten|ändern)|änderungen gehen verloren|g[ée]n[ée]r[ée] (?:automatiquement|par)|^\W*fichier (?:produit|créé) par|modifications? (?:sera|seront) perdue|(?:archivo|fichero) (?:generado|producido|creado) por|se perderán|ne pas (?:modifier|éditer)|generado autom[áa]ticamente|no (?:editar|modificar)\b|自动生成|自動生成|请勿(?:手动)?(?:编辑|修改)|gerado automaticamente|não edit",
     re.I | re.M,
 )
@@ -38,6 +42,7 @@ _HEAD = re.compile(r"\A﻿?(?:<\?php\s*|#![^\n]*\n|[\"']use strict[\"'];?\s*|(?:
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`", re.S)
 _ROW = re.compile(r"^\s*[\[({]?\s*(?:[\"']?[\w.\-]*[\"']?\s*[,;:|\t]\s*)*[\"']?-?\d[\w.\-]*[\"']?(?:\s*[,;:|\t]\s*[\"']?-?[\w.\-]*[\"']?)*\s*[\])}]*[,;]?\s*$")
 _BLOB = re.compile(r"(?:\\x[0-9a-fA-F]{2}|\\[0-7]{3}|0x[0-9a-fA-F]{2},\s?){12,}|[A-Za-z0-9+/]{120,}={0,2}")
+_LINE_COMMENT = re.compile(r"(?://|#(?!\[)|--|;|<!--.*-->\s*$|/\*.*\*/\s*$)")
 _RESOLVED = re.compile(r"\"lockfileVersion\"|^# (?:This file is automatically @generated|THIS IS AN AUTOGENERATED FILE)", re.M)
 
 
@@ -46,6 +51,27 @@ def header(code: str) -> str:
     return _HEAD.match(code).group()
 
 
+def footer(code: str) -> str:
+    """The comments after the last line of code, without what they quote."""
+    lines = code.rstrip().split("\n")
+    i = len(lines)
+    while i and (not lines[i - 1].strip() or _LINE_COMMENT.match(lines[i - 1])):
+        i -= 1
+    if i and lines[i - 1].rstrip().endswith(("*/", "-->")):  # a block comment that stands alone
+        j = i - 1
+        while j and not lines[j].lstrip().startswith(("/*", "<!--")):
+            j -= 1
+        if lines[j].lstrip().startswith(("/*", "<!--")):
+            i = j
+    return _STRING.sub("", "\n".join(lines[i:]))
+
+
+def leaf(code: str | None, head: str) -> tuple[int | None, int]:
+    """(hash, size) of a text without its header, footer, blanks and case; no hash if nothing is left."""
+    body = "".join((code or "")[len(head) :].split()).lower()
+    return (xxhash.xxh64_intdigest(body.encode("utf-8", "surrogatepass")) - (1 << 63) if body else None), len(body)
+
+
 def judge(path: str, ext: str | None, code: str | None, repo: str | None) -> str | None:
     """generated, minified, vendored, data, or None for a file written by hand. Null values are unknown and count for nothing."""
     path = path or ""
@@ -60,7 +86,7 @@ def judge(path: str, ext: str | None, code: str | None, repo: str | None) -> str
     code = code or ""
     head = header(code)
     said = _NOT_SAID.sub("", head)
-    if _SAID.search(said):
+    if _SAID.search(said) or code and _SAID.search(_NOT_SAID.sub("", footer(code))):
         return "generated"
     if _COPIED.search(head):
         return "vendored"
@@ -99,14 +125,16 @@ def judge(path: str, ext: str | None, code: str | None, repo: str | None) -> str
     return None
 
 
-def merkle(files: DataFrame, least_files: int = 2) -> DataFrame:
-    """(file_id): files in a subtree, of least_files files at least, that two unrelated repositories share content for content and name for name.
+def merkle(files: DataFrame, least_files: int = 2, least_size: int = 400) -> DataFrame:
+    """(file_id): files in a subtree that two unrelated repositories share, leaf for leaf and name for name.
 
-    Bottom-up, a level of the directory tree at a time: each file or directory hands (count, sum of hashes of name and content) to its parent, pre-aggregated
-    before the shuffle. Repositories are unrelated if their names without the closing hash differ. Rows with null path or hash take no part.
+    files: id, path, repo_id, leaf (long, see leaf(); null if there is no text), size, hash (of the raw content, used where leaf is null). A subtree counts from least_files files
+    on; a single file by its leaf alone, whatever its name, from least_size characters on. Bottom-up, a level of the directory tree at a time: each file or directory hands
+    (count, sum of hashes of name and content) to its parent, pre-aggregated before the shuffle. Repositories are unrelated if their names without the
+    closing hash differ. Rows with null path, or without leaf and hash, take no part.
     """
-    own = files.where("id is not null and path is not null and hash is not null").select(
-        F.col("id"), F.coalesce("repo_id", F.lit("")).alias("repo"), F.split(F.regexp_replace("path", r"[\\/]+", "/"), "/").alias("p"), F.lower("hash").alias("hash")
+    own = files.where("id is not null and path is not null and (leaf is not null or hash is not null)").select(
+        F.col("id"), F.coalesce("repo_id", F.lit("")).alias("repo"), F.split(F.regexp_replace("path", r"[\\/]+", "/"), "/").alias("p"), "leaf", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce(F.col("leaf").cast("string"), F.lower("hash")).alias("hash")
     )
     depth = own.agg(F.max(F.size("p"))).head()[0] or 0
 
@@ -126,38 +154,48 @@ def merkle(files: DataFrame, least_files: int = 2) -> DataFrame:
             rows = rows.unionByName(below.select("repo", F.expr("substring_index(dir, '/', size(split(dir, '/')) - 1)").alias("dir"), "k", g1.cast("decimal(38,0)").alias("a"), g2.cast("decimal(38,0)").alias("b")))
         below = rows.groupBy("repo", "dir").agg(F.sum("k").alias("k"), F.sum("a").cast("decimal(38,0)").alias("a"), F.sum("b").cast("decimal(38,0)").alias("b"))
         levels.append(below)
+    stem = F.regexp_replace("repo", "-[0-9a-f]{8}$", "")
+    # only the smallest and greatest repository of each hash are kept: two different ones are enough
+    single = own.where((F.col("size") >= least_size) & F.col("leaf").isNotNull())
+    twice = single.groupBy("leaf", "size").agg(F.min(stem).alias("lo"), F.max(stem).alias("hi")).where("lo != hi").select("leaf", "size")
+    copies = single.join(twice, ["leaf", "size"], "left_semi").select(F.col("id").alias("file_id"))
     if not levels:
-        return own.select(F.col("id").alias("file_id")).limit(0)
+        return copies.distinct()
     dirs = levels[0]
     for x in levels[1:]:
         dirs = dirs.unionByName(x)
-    dirs = dirs.where(F.col("k") >= least_files)
-    stem = F.regexp_replace("repo", "-[0-9a-f]{8}$", "")
-    # only the smallest and greatest repository of each hash are kept: two different ones are enough
+    dirs, _ = materialize(dirs.where(F.col("k") >= least_files), "merkle")  # read twice, narrow
     shared = dirs.groupBy("k", "a", "b").agg(F.min(stem).alias("lo"), F.max(stem).alias("hi")).where("lo != hi").select("k", "a", "b")
     hot = dirs.join(shared, ["k", "a", "b"], "left_semi").select("repo", "dir").distinct()
     prefixes = own.select("id", "repo", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("p") - 1)), lambda n: F.array_join(F.slice("p", F.lit(1), n), "/"))).alias("dir"))
-    return prefixes.join(hot, ["repo", "dir"], "left_semi").select(F.col("id").alias("file_id")).distinct()
+    return prefixes.join(hot, ["repo", "dir"], "left_semi").select(F.col("id").alias("file_id")).unionByName(copies).distinct()
+
+
+JUDGED = "id long, reason string, leaf long, size long"
 
 
 def not_by_hand(files: DataFrame, symbols: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(file_id, reason) of the files that were not written by hand, each once. Files without code are judged by place and name alone; empty tables give no row."""
-    own = files.select("id", "path", "ext", "repo_id").where("id is not null").dropDuplicates(["id"])
+    """(file_id, reason) of the files that were not written by hand, each once. Files without code are judged by place and name alone; empty tables give no row.
+
+    One pass over the files' texts gives each one's own reason and its Merkle leaf, written once as a narrow table; the trees are built on that.
+    """
+    own = files.select("id", "path", "ext", "repo_id", "hash").where("id is not null").dropDuplicates(["id"])
     whole = symbols.where("kind = 'file'").select(F.col("id").alias("symbol_id"), "file_id").distinct()
     code = whole.join(chunks.select("symbol_id", "code"), "symbol_id").select("file_id", "code")
-    rows = own.join(code, own["id"] == code["file_id"], "left").select(F.col("id").cast("long").alias("id"), "path", "ext", "repo_id", "code")
+    rows = own.join(code, own["id"] == code["file_id"], "left").select(F.col("id").cast("long").alias("id"), "path", "ext", "repo_id", "code", "hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, why = [], []
-            for i in range(len(b)):
-                k, *rest = (b.column(c)[i].as_py() for c in range(5))
-                path, ext, repo, text = rest
-                if reason := judge(path, ext, text, repo):
-                    ids.append(k)
-                    why.append(reason)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(why, pa.string())], ["file_id", "reason"])
-
-    judged = rows.mapInArrow(run, "file_id long, reason string")
-    copies = merkle(files).select("file_id", F.lit("vendored").alias("reason"))
-    return judged.unionByName(copies).groupBy("file_id").agg(F.min("reason").alias("reason"))
+            why, leaves, sizes = [], [], []
+            for path, ext, repo, text in zip(*(b.column(c).to_pylist() for c in range(1, 5))):
+                why.append(judge(path, ext, text, repo))
+                x, n = leaf(text, header(text or ""))
+                leaves.append(x)
+                sizes.append(n)
+            out = [b.column(0), pa.array(why, pa.string()), pa.array(leaves, pa.int64()), pa.array(sizes, pa.int64()), b.column(1), b.column(3), b.column(5)]
+            yield pa.RecordBatch.from_arrays(out, ["id", "reason", "leaf", "size", "path", "repo_id", "hash"])
+
+    judged, _ = materialize(rows.mapInArrow(run, JUDGED + ", path string, repo_id string, hash string"), "judged")
+    copies = merkle(judged).select("file_id", F.lit("vendored").alias("reason"))
+    mine = judged.where("reason is not null").select(F.col("id").alias("file_id"), "reason")
+    return mine.unionByName(copies).groupBy("file_id").agg(F.min("reason").alias("reason"))
