@@ -3,8 +3,9 @@
 Whole texts are scanned for runs that could be a value (letters and digits mixed, or a private key's BEGIN line), and for what announces one whatever its
 shape: a secret name, an auth word, userinfo of an address. Around each, the logical
 line (string concatenations over several lines joined, a key block whole, very long lines as a window on either side) is cut into tokens,
-each with features of shape, run and context; Viterbi labels tell which tokens are a value. A row's text is never cut off, and
-nothing outside the labelled tokens changes.
+each with features of shape, run and context; the Viterbi path tells which characters are a value, and nothing is added to or taken from its spans afterwards. What
+is certain beforehand binds the path itself: placeholders, names before = and sums of references carry no value, and a value doesn't end inside its run of
+characters. A row's text is never cut off, and nothing outside the labelled tokens changes.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.crf import Crf
+from strataline.llm.crf import NONE, Crf
 
 MODEL = os.path.join(os.path.dirname(__file__), "credentials_model.json")
 REDACTED = "REDACTED"
@@ -28,17 +29,19 @@ KEPT = 200_000
 RUN = re.compile(r"[^\s\"'`<>(){}\[\],;]{8,}")
 _LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile(r"\d")
 _PLAIN = re.compile(r"[a-z_$.]+\d{1,3}|[a-z\-]+:(?:-?[\d.]+(?:px|r?em|%|m?s|v[hw]|fr)?|#[0-9a-f]{3,8})|\d+[a-z]{1,2}|0x[0-9a-f]+|(?:\\x[0-9a-f]{2})+|[\d.\-e+,:|/*%]+")
-TOKEN = re.compile(r"-{5}[A-Z ]+-{5}|(?<![/.@:A-Za-z0-9])[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_\-]{16,}(?:\.[A-Za-z0-9_\-]{16,})+|[A-Za-z0-9_]+|://|=>|\|\||\S")
+TOKEN = re.compile(r"-{5}[A-Z ]+-{5}|(?<![/.@:A-Za-z0-9])[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_\-]{16,}(?:\.[A-Za-z0-9_\-]{16,})+|(?<=\s-)p(?=[^\s\-]{4})|\w+|://|=>|\|\||\S")
 BEGIN_PRIVATE = re.compile(r"-{5}BEGIN [A-Z ]*PRIVATE KEY-{5}")
 _END = re.compile(r"-{5}END [A-Z ]*PRIVATE KEY-{5}")
 _SUB = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 #: Names that announce a secret, in six languages, and names that announce another opaque value.
 SECRET = set("password passwd pass pwd passphrase passcode secret secrets token key apikey credential credentials creds auth bearer basic authorization private signing sig senha contrasena clave mot passe kennwort passwort parola login".split())
+#: Of these, the ones that still tell when another word is glued to their front.
+GLUED = tuple("password passwd passphrase passcode secret token apikey credential credentials passwort kennwort contrasena".split())
 #: Of these, the names whose value people choose, so that it may be a plain word.
 CHOSEN = set("password passwd pass pwd passphrase passcode secret senha contrasena clave passe kennwort passwort parola".split())
 OPAQUE = set("etag commit revision integrity checksum digest hash sha sha256 sha512 md5 build uuid id icon image data public pub version cache blob draft nonce rev fingerprint resolved".split())
 PREFIX = ("ghp_", "gho_", "ghs_", "ghu_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "sk_test_", "rk_live_", "AKIA", "ASIA", "eyJ", "AIza", "npm_", "pypi-", "SG.")
-DUMMY = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|changeme|change[-_]?me|replace[-_]?(?:me|this)?|todo|example[-_]?only|insert[-_].*|your[-_].*|dummy|placeholder|<.*>|test|none|null|undefined|redacted|secret|password|[A-Za-z0-9_\-]*(?:x{6,}[A-Za-z0-9_\-]*|example))$")
+DUMMY = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|changeme|change[-_]?me|replace[-_]?(?:me|this)?|todo|(?:for[-_]?)?example[-_]?(?:only)?|(?:insert|enter|put|paste|your)[-_].*|dummy|placeholder|<.*>|test|none|null|undefined|redacted|secret|password|[A-Za-z0-9_\-]*(?:x{6,}[A-Za-z0-9_\-]*|example))$")
 
 
 def is_sum(run: str) -> bool:
@@ -93,6 +96,14 @@ def announced(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _whole(text: str, at: int, step: int) -> int:
+    """The edge of a window moved outwards to the end of the word it cuts, by WINDOW characters at most."""
+    upto = at + step * WINDOW
+    while at != upto and 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum():
+        at += step
+    return at
+
+
 def windows(text: str, dull: set[str]) -> list[tuple[int, int]]:
     """The spans that are worth labelling. dull: runs known not to be, kept over calls; they count where nothing announces a value."""
     runs = set(RUN.findall(text))
@@ -128,6 +139,7 @@ def windows(text: str, dull: set[str]) -> list[tuple[int, int]]:
                 break
             b = down
         spans.append((max(a, start - WINDOW), min(b, end + WINDOW)))
+    spans = [(_whole(text, a, -1), _whole(text, b, 1)) for a, b in spans]
     if key:
         for m in BEGIN_PRIVATE.finditer(text):
             a = max(text.rfind("\n", 0, m.start()) + 1, m.start() - WINDOW)
@@ -165,21 +177,23 @@ _VALUE = re.compile(r"[^\s\"'`<>(){}\[\],;]+")
 _BODY = re.compile(r"(?:\\[nr]|[\s\"'`+.,\\])*(?:[A-Za-z0-9+/]{24,}|[A-Za-z0-9+/]+={1,2})")
 _STOP = set("\"'`<>(){}[],;&@|")
 _TURN = re.compile(r"(?=[a-zA-Z]\d|\d[a-zA-Z]|[a-z][A-Z]|[A-Z][a-z])")
-_NAMED = re.compile(r"[A-Za-z_\-]*=(?=[^=])")
-_BEFORE = re.compile(r"[\"'`]([^\"'`\s]{4,})[\"'`]\s*[+.]?\s*\n\s*[\"'`]$")
+_NAMED = re.compile(r"[A-Za-z_\-]+=(?=[^=\s\"'`])")
+_BRIDGE = re.compile(r"(?<=[^\s\"'`=(,:])([\"'`]\s*[+.]?\s*\n\s*[+.]?\s*[\"'`])(?=[^\s\"'`])")
+_PART = re.compile(r"(?<=[=:])[^=:/@&?\s]+(?=[@&]|$)")
 _EXPR = re.compile(r"[\w.$=!&|?:]*[A-Za-z_$][\w.$]*[+*\-]\d{1,4}")
-_SUM = re.compile(r"[A-Za-z_]\w{0,99}\.\w{1,99}\+\d{1,4}\b")  # without quotes, a reference and a number
+QUOTES = ('"', "'", "`")
+_SUM = re.compile(r"(?:^|(?<=[=:&|?]))([A-Za-z_]\w{0,99}\.\w{1,99}\+\d{1,4}(?!\w))")  # without quotes, a reference and a number
 _WORD = re.compile(r"[^\W\d_]")
 _AUTH = set("pw connect authenticate signin".split())
 _STEMS = tuple(sorted(w for w in SECRET | _AUTH | {" -u "} if not any(v != w and v in w for v in SECRET | _AUTH)))
 _HOT = re.compile("(?i)" + "|".join(map(re.escape, _STEMS)))
-_USERINFO = re.compile(r"://[^/@\s:]{1,200}:[^/@\s]{1,200}@")
+_USERINFO = re.compile(r"://[^/@\s:]{0,200}:[^/@\s]{1,200}@")
 
 
 @lru_cache(maxsize=200_000)
 def _run_features(run: str) -> tuple[str, ...]:
     f = ["r" + _size(len(run))]
-    let, dig = bool(re.search("[A-Za-z]", run)), bool(re.search(r"\d", run))
+    let, dig = bool(_WORD.search(run)), bool(re.search(r"\d", run))
     f.append("rmix" if let and dig else "rlet" if let else "rdig" if dig else "rpun")
     core = run.strip(".:=")
     if _UUID.search(core):
@@ -223,7 +237,7 @@ def _kind(word: str) -> str:
         return "-"
     if any(s in OPAQUE for s in subs) and subs[-1] not in ("password", "secret", "pass", "pwd", "passphrase"):
         return "opaque" if not any(s in SECRET - {"key", "token", "auth", "login"} for s in subs) else "both"
-    if any(s in SECRET for s in subs):
+    if any(s in SECRET for s in subs) or subs[-1].endswith(GLUED):
         return "secret" if not (len(subs) == 1 and subs[0] in ("token", "key", "auth", "login", "pass", "basic", "private")) else "weak:" + subs[0]
     return "other"
 
@@ -232,11 +246,11 @@ def _kind(word: str) -> str:
 def _chosen(word: str) -> str:
     """Whether a name ends in, has, or lacks a word for something people choose."""
     subs = [s.lower() for s in _SUB.findall(word)]
-    return "end" if subs and subs[-1] in CHOSEN else "in" if any(s in CHOSEN for s in subs) else "no"
+    return "end" if subs and (subs[-1] in CHOSEN or subs[-1].endswith(GLUED) and not subs[-1].endswith(("token", "apikey"))) else "in" if any(s in CHOSEN for s in subs) else "no"
 
 
 _PREFIX = re.compile("|".join(map(re.escape, PREFIX)))
-_NEAR = set("bearer basic u login creds user password pwd secret services env environ getenv / : @".split())
+_NEAR = set("bearer basic u p mysql login creds user password pwd secret services env environ getenv / : @".split())
 
 
 def _turns(w: str) -> int:
@@ -342,9 +356,58 @@ def features(s: str, spans: list[tuple[int, int]]) -> list[list[str]]:
     return out
 
 
+FREE, NEVER, ON, INSIDE = 0, 1, 2, 4
+
+
+def limits(s: str, spans: list[tuple[int, int]]) -> list[int]:
+    """What is certain of each token before decoding, as flags: NEVER part of a value, goes ON with the value before it if there is one, can't begin a value but only stand INSIDE one."""
+    out = []
+    for i, (a, b) in enumerate(spans):
+        x = FREE
+        if s[a] in QUOTES:
+            x = INSIDE
+        elif i and spans[i - 1][1] == a and s[a] not in _STOP and not s.startswith("-----END", spans[i - 1][0]):
+            x = ON
+        if i and spans[i - 1][1] == a and s[a - 1].isalnum() and not s[a].isalnum():
+            x |= INSIDE
+        out.append(x)
+    if "\n" in s:  # a value joined from literals on several lines goes on in the next
+        i = 0
+        for m in _BRIDGE.finditer(s):
+            while i < len(spans) and spans[i][0] < m.start(1):
+                i += 1
+            while i < len(spans) and spans[i][0] <= m.end(1):
+                out[i] |= ON
+                i += 1
+    if "-----BEGIN" in s:
+        return out
+    i = 0
+    for m in _VALUE.finditer(s):
+        a, b = m.span()
+        run = m.group()
+        upto = b if DUMMY.match(run.strip(".:=")) else n.end() if (n := _NAMED.match(s, a, b)) else a
+        while i < len(spans) and spans[i][0] < a:
+            i += 1
+        while i < len(spans) and spans[i][1] <= upto:
+            out[i] = NEVER
+            i += 1
+        sums = [] if s[a - 1 : a] in QUOTES else [m.span(1) for m in _SUM.finditer(run)]
+        for x, y in sums + [m.span() for m in _PART.finditer(run) if DUMMY.match(m.group())]:
+            x, y = a + x, a + y
+            if x < y:
+                for k in range(i, len(spans)):
+                    if spans[k][0] >= y:
+                        break
+                    if spans[k][0] >= x:
+                        out[k] = NEVER
+    return out
+
+
 @lru_cache(maxsize=1)
 def model(path: str = MODEL) -> Crf:
-    return Crf.load(path)
+    crf = Crf.load(path)
+    crf.t_list[0][2] = crf.start_list[2] = NONE  # a value has a beginning
+    return crf
 
 
 class Finder:
@@ -355,30 +418,14 @@ class Finder:
 
     def label(self, todo: list[str]) -> None:
         spans = [tokens(s) for s in todo]
-        for s, own, lab in zip(todo, spans, self.crf.viterbi([features(s, x) for s, x in zip(todo, spans)])):
+        for s, own, lab in zip(todo, spans, self.crf.viterbi([features(s, x) for s, x in zip(todo, spans)], [limits(s, x) for s, x in zip(todo, spans)])):
             found: list[list[int]] = []
             for (a, b), y in zip(own, lab):
                 if y == 1:
                     found.append([a, b])
-                elif y == 2 and found:
-                    found[-1][1] = b
                 elif y == 2:
-                    found.append([a, b])
-            for x in found:  # a value joined from several literals begins in the first
-                while m := _BEFORE.search(s[max(0, x[0] - WINDOW) : x[0]]):
-                    x[0] -= len(s[max(0, x[0] - WINDOW) : x[0]]) - m.start(1)
-            for x in found:  # a value goes on to the end of its run
-                if not s.startswith("-----", x[0]):
-                    if m := _NAMED.match(s, *x):
-                        x[0] = m.end()
-                    while x[1] < len(s) and s[x[1]] not in _STOP and not s[x[1]].isspace():
-                        x[1] += 1
-            self.known[s] = tuple((a, b) for (a, b), (c, _) in zip(found, [*found[1:], [len(s), 0]]) if self.real(s[a:b]) and b <= c and not (_SUM.match(s, a) and s[a - 1 : a] not in tuple("\"'`")))
-
-    @staticmethod
-    def real(v: str) -> bool:
-        """The exact check: a value is no placeholder; its shape is the model's business."""
-        return bool(v) and not DUMMY.match(v)
+                    found[-1][1] = b
+            self.known[s] = tuple((a, b) for a, b in found)
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         if len(self.dull) > 4 * KEPT:

@@ -10,7 +10,7 @@ import random
 import string
 import sys
 
-from strataline.llm.credentials import MODEL, PREFIX, _chosen, features, tokens
+from strataline.llm.credentials import MODEL, PREFIX, _chosen, features, limits, tokens
 from strataline.llm.crf import Crf
 
 SAMPLE, HELD_OUT, SEED = 16_000, 2_000, 7
@@ -37,6 +37,9 @@ class Maker:
         a = self.r.choice("db password|client secret|api key|auth token|access token|signing key|smtp pass|passphrase|private token|webhook secret|master password|secret key|mot de passe|contrasena|senha|kennwort|passwort|pwd|password|secret|clave|user password|refresh token|encryption key|session secret|private key|bot token|admin pass".split("|")).split()
         if self.r.random() < 0.15:
             a = [self.w(), *a]
+        if self.r.random() < 0.12:  # glued to what stands before
+            n = self.r.choice([self.w(), self.w()[:2], "db", "my", "app"]) + self.r.choice(["password", "passwd", "secret", "passphrase", "token", "apikey"])
+            return self.r.choice([n, n.upper()])
         return self.r.choice([a[0] + "".join(x.title() for x in a[1:]), "_".join(a), "_".join(a).upper(), ".".join(a), "-".join(a)])
 
     def opaque_name(self) -> str:
@@ -46,7 +49,7 @@ class Maker:
         r, s = self.r, self.s
         return r.choice([
             lambda: r.choice(["ghp_", "gho_", "ghs_"]) + s(AL, 36), lambda: "glpat-" + s(AL, 20), lambda: f"xoxb-{s(string.digits, 11)}-{s(AL, 24)}", lambda: "sk_live_" + s(AL, 24), lambda: "AKIA" + s(string.ascii_uppercase + "234567", 16),
-            lambda: f"eyJ{s(AL, r.randrange(20, 36))}.eyJ{s(AL, r.randrange(30, 60))}.{s(AL + '-_', 43)}", lambda: s(AL, r.randrange(20, 44)), lambda: s(B64, 39 + r.randrange(4)) + "=", lambda: s(AL + "-_", r.randrange(22, 44)), lambda: s(HX, r.choice([32, 40, 40, 64])),
+            lambda: f"eyJ{s(AL, r.randrange(20, 36))}.eyJ{s(AL, r.randrange(30, 60))}.{s(AL + '-_', 43)}", lambda: s(AL, r.randrange(20, 44)), lambda: s(B64, 39 + r.randrange(4)) + "=", lambda: s(AL + "-_", r.randrange(22, 44)), lambda: s(r.choice([string.ascii_lowercase, string.ascii_letters]), r.randrange(20, 41)), lambda: s(HX, r.choice([32, 40, 40, 64])),
         ])()
 
     def password(self) -> str:
@@ -65,9 +68,16 @@ class Maker:
         n = s(string.digits, r.choice([1, 2, 2, 3]))
         return r.choice([
             lambda: a + b, lambda: a + b + c, lambda: a.title() + b.title(), lambda: s(string.ascii_letters, r.randrange(7, 15)), lambda: a + b + n, lambda: a + n, lambda: f"{a.title()}{r.choice('-*+_')}{s(string.digits, 4)}", lambda: f"{a.title()}{r.choice('-*+')}{n}",
-            lambda: s(AL, r.randrange(5, 8)), lambda: a.title() + b + r.choice("!?$#"), lambda: r.choice("-_.").join([a, b, c, self.w()][: r.choice([3, 4, 4])]),
+            lambda: s(AL, r.randrange(5, 8)), lambda: a.title() + b + r.choice("!?$#"), lambda: r.choice("-_.").join([a, b, c, self.w()][: r.choice([3, 4, 4])]), lambda: s(string.digits, r.randrange(6, 17)), lambda: a.replace("a", "@", 1) + self.foreign() + r.choice(["", "-" + b, n]), lambda: self.foreign() + r.choice(["-", "_", ""]) + self.foreign(),
         ])()
 
+    def foreign(self) -> str:
+        """A word with letters beyond ASCII."""
+        w = self.w()
+        for x, y in self.r.sample([("a", "ä"), ("o", "ö"), ("u", "ü"), ("e", "é"), ("i", "í"), ("n", "ñ"), ("s", "ß")], 4):
+            w = w.replace(x, y, 1)
+        return w if not w.isascii() else w + self.r.choice("äöüéñ")
+
     def chosen_name(self) -> str:
         while not (n := self.secret_name()) or _chosen(n.replace(".", "_").replace("-", "_")) != "end":
             pass
@@ -92,7 +102,7 @@ class Maker:
                 f"{r.choice(['const ', '$', '', a + '.', ''])}{self.name()} {r.choice(['=', ':='])} {self.name()}({r.choice(['', '$'])}{t}){r.choice([';', ''])}", f"{r.choice(['const ', '$', '', ''])}{self.name()} = {b}.{self.name()}({t}, {self.name()}){r.choice([';', ''])}", f"{t} = {self.name()}{r.choice(['.' + self.name(), '[' + c + ']', ''])}{r.choice([';', ''])}", f"return {self.name()}({t}, {c}){r.choice([';', ''])}", minified, minified,
             ])
         return r.choice([
-            f"const {p}{m} = {q}{a}{r.choice(['', '-' + b, b.title(), ' ' + b])}{q};", f"  {p}{m}: {q}{a.title()} {b}{q},", f"<add key=\"{a}_{t}\" value=\"{r.choice([b, f'./{b}/{c}', t])}\" />", f"{a}_{t} = {q}{r.choice([b, f'./{b}/{c}'])}{q}", f"{a}.{t}={r.choice(['./', ''])}{b}/{c}", f"  {a}_{t}: {r.choice(['./', ''])}{b}/{c}",
+            f"const {p}{m} = {q}{a}{r.choice(['', '-' + b, b.title(), ' ' + b])}{q};", f"  {p}{m}: {q}{a.title()} {b}{q},", f"<add key=\"{a}_{t}\" value=\"{r.choice([b, f'./{b}/{c}', t, r.randrange(9999), r.randrange(99999)])}\" />", f"{a}_{t} = {q}{r.choice([b, f'./{b}/{c}', r.randrange(9999)])}{q}", f"{a}.{t}={r.choice(['./', ''])}{b}/{c}", f"{a}{r.choice('._')}{t}{r.choice(['=', ': '])}{r.randrange(99999)}", f"{self.s('abcmz', 1)}.{t}={self.s('abcmz', 1)}.{a}+{r.randrange(300)}", f"  {a}_{t}: {r.choice(['./', ''])}{b}/{c}",
             f"  {a}_{t}: {b}", f"{a}.{b}.{t}={c}", f"type: {q}{p}{q},", f"<input type=\"{p}\" name=\"{r.choice([a, p])}\" placeholder=\"{a.title()} {b}\">", f"  \"{a}_{b}/{c}-{t}\": {{", f"{{ key: {q}{a}{q}, label: {q}{b.title()} {c}{q} }},", f"  {n}: {r.choice(['string', 'String', a, a.title(), a + '.' + n, a + b.title()])}{r.choice([';', ',', ''])}",
             f"{n} = {r.choice([a, a + '.' + b, f'{a}.{b}({c})', f'{a}({n})', 'null', 'None', 'true', f'new {a.title()}()'])}{r.choice([';', ''])}", f"{a}({q}{t}.{b}{q}, {c});", f"{a}.{b} = {c}.{self.name()}({n});", f"throw new Error({q}{a.title()} {p} {b}{q});", f"if ({n} === {q}{q} || {n} == {a}) {{", f"form.get({q}{p}{q}).set({q}{a}{q});",
             f"@param {p} the {a} {b} of the {c}", f"// the {p} is {a} {r.choice(['in', 'by', 'from', 'of'])} {b} and {c}", f"# {a} {b} {p} {r.choice(['for', 'of', 'and'])} {c}", f"def {a}_{t}({b}, {n}):", f"{a}.{r.choice(['login', 'connect', 'auth', 'authenticate'])}({b}, {n});", f"{a}.{r.choice(['connect', 'login'])}({q}{b}{q});", f"case {q}{p}{q}: return {a}.{b};",
@@ -100,7 +110,7 @@ class Maker:
         ])
 
     def dummy(self) -> str:
-        return self.r.choice(["changeme", "xxxxxxxx", "<secret>", "REPLACE_ME", "YOUR_PASSWORD_HERE", "example-only", "insert-key-here", "your-api-key", "", "${DB_PASSWORD}", "${VAULT_TOKEN}", "{{ .Values.token }}", "$CLIENT_SECRET", "%(password)s", "vault:secret/data/app", "x-secret-name", "api_key_header", "session-password-field", "placeholder", "********", "TODO", "<your token>", "{{ lookup('env', 'TOKEN') }}", "x-api-key", "auth_token_v2", "password_field_2"])
+        return self.r.choice(["changeme", "xxxxxxxx", "<secret>", "REPLACE_ME", "YOUR_PASSWORD_HERE", "for-example", "enter_password_here", "your-api-key", "", "${DB_PASSWORD}", "${VAULT_TOKEN}", "{{ .Values.token }}", "$CLIENT_SECRET", "%(password)s", "vault:secret/data/app", "x-secret-name", "api_key_header", "session-password-field", "placeholder", "********", "TODO", "<your token>", "{{ lookup('env', 'TOKEN') }}", "x-api-key", "auth_token_v2", "password_field_2"])
 
     def other(self) -> str:
         r, s = self.r, self.s
@@ -114,7 +124,7 @@ class Maker:
         """Text before and after the value."""
         q = self.r.choice("'\"")
         name2 = name.replace(".", "_").replace("-", "_")
-        end = self.r.choice([";", ";", "", "; // rotate me", " # rotate me", ",", "; // " + self.w() + " of the " + self.w()])
+        end = self.r.choice([";", ";", "", "; // " + self.w() + " " + self.w(), " # " + self.w() + " this", ",", "; // " + self.w() + " of the " + self.w()])
         form = self.r.choice([*range(18), 9, 9])
         return [
             (f"const {name2} = {q}", q + end), (f"let {name2} = {q}", q + end), (f"  final String {name2} = \"", '"' + end), (f"    ${name2} = {q}", q + end), (f"{name2} = {q}", q), (f"    {name2} = {q}", q + end), (f"  \"{name}\": \"", '",'), (f"{name}: ", ""), (f"  {name}: \"", '"'),
@@ -128,14 +138,14 @@ class Maker:
         p = self.password()
         t = self.token()
         v = r.choice([p, t, t])
-        u = r.choice(["ci_runner", "svc_index", "app_rw", "ops_batch", "reporter", "replica_user", "admin", "root", self.w()])
+        u = r.choice(["admin", "root", "deploy", "app", self.w(), self.w() + "_" + self.w(), self.w()])
         host = f"{self.w()}{r.randrange(9)}.{self.w()}.example"
         c = r.choice(["// ", "# ", "-- ", " * ", ""])
         start = r.choice([f"const {self.name()} = {q}", f"{self.name()} = {q}", f"    ${self.name()} = {q}", f"    final String {self.name()} = {q}"])
         end = q + r.choice([";", "", ")", ");"])
         k = min(r.randrange(19), 16) if r.random() < 0.93 else 14
         if k <= 4:
-            if r.random() < 0.3:
+            if r.random() < 0.38:
                 a, b = self.assign(self.chosen_name(), "")
                 quoted = a[-1] in "'\""
                 v = " ".join(self.w() for _ in range(r.randrange(3, 6))) if quoted and r.random() < 0.12 else self.plain()
@@ -152,9 +162,9 @@ class Maker:
                 return text, [(len(a), len(a) + len(v) + len(glue))]
             return a + v + b, [(len(a), len(a) + len(v))]
         pre, post = {
-            5: (f"{start}{r.choice(['postgres', 'mysql', 'redis', 'amqp', 'mongodb', 'https'])}://{u}:", f"@{host}:5432/{self.w()}{end}"),
+            5: (f"{start}{r.choice(['postgres', 'mysql', 'redis', 'amqp', 'mongodb', 'https'])}://{u if r.random() < 0.85 else ''}:", f"@{host}:5432/{self.w()}{end}"),
             6: (f"{start}Server={host};Database={self.w()};User Id={u};{r.choice(['Password', 'Pwd', 'PWD'])}=", r.choice([";Timeout=9", ""]) + end),
-            7: (f"{c}curl -u {u}:", f" https://{host}/api/{self.w()}"),
+            7: (f"{c}curl -u {u}:", f" https://{host}/api/{self.w()}") if r.random() < 0.6 else (f"{c}{r.choice(['mysql', 'mysqldump', 'mysql -h ' + host])} -u {u} -p", f" {self.w()}"),
             8: (f"{start}dump --host {host} --user {u} --{r.choice(['password', 'pass', 'token'])}{r.choice(['=', ' '])}", f" --all{end}"),
             9: (f"{start}{{\"login\": \"{u}\", \"{r.choice(['secret', 'password', 'pwd'])}\": \"", f"\"}}{end}") if r.random() < 0.5 else (f"opts = {{'user': '{u}', '{r.choice(['secret', 'password', 'pwd'])}'{r.choice([': ', ' => '])}'", "'}"),
             10: (f"{self.w()}.{r.choice(['login', 'connect', 'authenticate', 'auth'])}('{u}', '", "');"),
@@ -162,13 +172,13 @@ class Maker:
             12: (f"{start}Authorization: {r.choice(['Basic', 'Bearer'])} ", end),
             13: (f"{start}https://{host}/{self.w()}?{self.w()}={self.w()}&{r.choice(['access_token', 'token', 'api_key', 'sig', 'key', 'apikey'])}=", r.choice([f"&v={r.randrange(9)}", ""]) + end),
             14: (f"{start}https://{r.choice(["hooks", "hook", "webhooks", self.w()])}.example/{r.choice(["services", "services", "hooks", self.w()])}/T{self.s(AL.upper(), 8)}/B{self.s(AL.upper(), 8)}/", end),
-            15: (r.choice([f"{c}{r.choice(['tmp creds:', 'remove before release, login is', 'staging password =', 'test account:', 'login'])} {u} / ", f"{c}{r.choice(['password for', 'pw of'])} {u} is ", f"{c}old {r.choice(['password', 'token', 'key'])}: "]), r.choice(["", " (expires soon)"])),
+            15: (r.choice([f"{c}{r.choice([self.w() + ' creds:', self.w() + ' ' + self.w() + ', login is', self.w() + ' password =', self.w() + ' account:', 'login', 'credentials:'])} {u} / ", f"{c}{r.choice(['password for', 'pw of'])} {u} is ", f"{c}{self.w()} {r.choice(['password', 'token', 'key'])}: "]), r.choice(["", " (expires soon)"])),
             16: (r.choice(["", "auth:", "apiKey=", "Bearer ", "token:", "session.set('", f"localStorage.setItem('auth:", f"localStorage.getItem('", f"  sessionStorage.getItem('Bearer ", f"{self.w()}Storage.setItem('apiKey="]), ""),
         }[k]
         if k in (5, 6, 7, 8, 9, 10, 15):
             v = p if r.random() < 0.9 or k == 15 else t
-            if r.random() < 0.35 and not (k == 15 and " is " in pre):
-                v = self.plain()
+            if r.random() < (0.6 if k == 15 and " / " in pre else 0.35) and not (k == 15 and " is " in pre):
+                v = self.w() + self.w() if k == 15 and r.random() < 0.5 else self.plain()
             if k == 9 and "opts" in pre:
                 v = p
         elif k == 12:
@@ -221,6 +231,10 @@ class Maker:
         if k < 11:
             a, b = self.assign(self.name(), "")
             return a + self.other() + b, []
+        if k == 10 and r.random() < 0.4:  # numbers beside such names
+            n = r.choice(["token", "password", "secret", "passwd", "key", "session"])
+            m = r.choice(["Count", "Length", "MinLength", "Expiry", "TTL", "Timeout", "Size", "Index", "Limit", "Attempts"])
+            return r.choice([f"const {n}{m} = {r.randrange(99999)};", f"{n}_{m.lower()}: {r.randrange(9999999)}", f"max_{n}s = {r.randrange(99999)}", f"{n}{m}={r.randrange(999999)}", f"if ({n}.length > {r.randrange(99)}) {{", f"{n} = {r.randrange(9999)};", f"{n}.{self.w()}({r.randrange(99999)});", f"find . -name '{self.w()}' -print", f"mkdir -parents {self.w()}", f"ssh -port {r.randrange(9999)} {self.w()}@{self.w()}"]), []
         if k == 11:
             n = self.secret_name().replace(".", "_").replace("-", "_")
             return r.choice([f"const {n} = process.env.{self.w().upper()}_TOKEN;", f"{n} = os.environ[\"{self.w().upper()}_TOKEN2\"]", f"var {n} = Environment.GetEnvironmentVariable(\"{self.w().upper()}_TOKEN\");", f"{n} = config.get('{self.w()}.{self.w()}2')", f"$this->{n} = ${self.w()}->{self.w()}2;", f"if ({n} === {self.w()}{r.randrange(99)}) {{", f"const {n} = await vault.read('{self.w()}/{self.w()}{r.randrange(99)}');", f"function {n}({self.w()}, {self.w()}{r.randrange(9)}) {{"]), []
@@ -258,7 +272,7 @@ class Maker:
         return text, features(text, own), lab
 
 
-def fit(n: int = SAMPLE, seed: int = SEED, epochs: int = 200) -> Crf:
+def fit(n: int = SAMPLE, seed: int = SEED, epochs: int = 170) -> Crf:
     m = Maker(seed)
     return Crf.train([m.row()[1:] for _ in range(n)], 3, epochs)
 
@@ -269,7 +283,7 @@ def score(crf: Crf, n: int = HELD_OUT, seed: int = SEED + 1):
     rows = [m.row() for _ in range(n)]
     hit = said = true = begun = 0
     wrong = []
-    for (text, _, lab), got in zip(rows, crf.viterbi([r[1] for r in rows])):
+    for (text, _, lab), got in zip(rows, crf.viterbi([r[1] for r in rows], [limits(r[0], tokens(r[0])) for r in rows])):
         said += 1 in got or 2 in got
         true += 1 in lab
         hit += 1 in lab and got == lab

@@ -7,6 +7,9 @@ import json
 import numpy as np
 
 
+NONE = -1e12
+
+
 class Crf:
     """Labels are 0..k-1. A sequence is a list of tokens, a token a list of feature names."""
 
@@ -61,8 +64,7 @@ class Crf:
             z = a[np.arange(n), lengths - 1]
             top = z.max(1)
             z = np.log(np.exp(z - top[:, None]).sum(1)) + top
-            p = np.exp(a + b - z[:, None, None])
-            d = p[rows, cols]
+            d = np.exp(a[rows, cols] + b[rows, cols] - z[rows, None])
             d[np.arange(len(gold)), gold] -= 1
             spread = np.repeat(d, sizes, axis=0)
             gw = np.stack([np.bincount(ids, spread[:, j], len(index)) for j in range(k)], 1)
@@ -72,7 +74,7 @@ class Crf:
                 x = a[:q, c - 1, :, None] + t + (e[:q, c] + b[:q, c])[:, None, :] - z[:q, None, None]
                 gt += np.exp(x).sum(0)
                 np.add.at(gt, (y[:q, c - 1], y[:q, c]), -1)
-            gs = p[:, 0].sum(0) - np.bincount(y[:, 0], minlength=k)
+            gs = np.exp(a[:, 0] + b[:, 0] - z[:, None]).sum(0) - np.bincount(y[:, 0], minlength=k)
             for i, g in enumerate((gw, gt, gs)):
                 g = g / n + l2 * par[i]
                 m1[i] = 0.9 * m1[i] + 0.1 * g
@@ -80,7 +82,8 @@ class Crf:
                 par[i] = par[i] - rate * (m1[i] / (1 - 0.9**epoch)) / (np.sqrt(m2[i] / (1 - 0.99**epoch)) + 1e-8)
         return cls(k, index, *par)
 
-    def viterbi(self, seqs: list[list[list[str]]]) -> list[list[int]]:
+    def viterbi(self, seqs: list[list[list[str]]], limits: list[list[int]] | None = None) -> list[list[int]]:
+        """The best labels of each sequence. limits binds the path by flags: 1 only label 0 is possible, 2 labels 0 and 1 only after label 0 (what was begun goes on), 4 label 1 is not possible."""
         index, ids, first = self.index, [], []
         for seq in seqs:
             for token in seq:
@@ -92,15 +95,31 @@ class Crf:
         w = np.vstack([self.w, np.zeros((1, self.k))])
         e = np.add.reduceat(w[np.array(ids)], np.array(first), axis=0).tolist()
         out, at, t, labels = [], 0, self.t_list, range(self.k)
-        for seq in seqs:
+        for which, seq in enumerate(seqs):
             n = len(seq)
             if not n:
                 out.append([])
                 continue
+            bound = limits[which] if limits else None
             score = [self.start_list[j] + e[at][j] for j in labels]
+            if bound and bound[0] & 1:
+                score[1:] = [NONE] * (self.k - 1)
+            elif bound and bound[0] & 4:
+                score[1] = NONE
             back = []
             for i in range(at + 1, at + n):
                 best = [max(labels, key=lambda j, c=c: score[j] + t[j][c]) for c in labels]
+                if bound and bound[i - at]:
+                    if bound[i - at] & 1:
+                        score = [score[best[0]] + t[best[0]][0] + e[i][0]] + [NONE] * (self.k - 1)
+                    else:
+                        if bound[i - at] & 2:
+                            best[0] = best[1] = 0
+                        score = [score[best[c]] + t[best[c]][c] + e[i][c] for c in labels]
+                        if bound[i - at] & 4:
+                            score[1] = NONE
+                    back.append(best)
+                    continue
                 score = [score[best[c]] + t[best[c]][c] + e[i][c] for c in labels]
                 back.append(best)
             at += n

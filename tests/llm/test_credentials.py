@@ -84,3 +84,16 @@ def test_viterbi_is_the_best_path(seed):
     e = [sum((crf.w[crf.index[f]] for f in t), np.zeros(3)) for t in seq]
     best = max(itertools.product(range(3), repeat=6), key=lambda p: crf.start[p[0]] + sum(e[i][y] for i, y in enumerate(p)) + sum(crf.t[a][b] for a, b in zip(p, p[1:])))
     assert crf.viterbi([seq]) == [list(best)]
+
+
+def test_lines_written_by_hand_afterwards():
+    """Held-out: 34 of 40 values are named to the letter, one of 40 clean lines is named; neither was tuned on these lines."""
+    from heldout_credentials import CLEAN as CLEAN_LINES
+    from heldout_credentials import VALUES
+
+    f = credentials.Finder()
+    got = [[t[a:b] for a, b in s] for t, s in zip([t for t, _ in VALUES], f.find([t for t, _ in VALUES]))]
+    exact = sum(g == [v] for g, (_, v) in zip(got, VALUES))
+    wrong = sum(map(bool, f.find(CLEAN_LINES)))
+    print(f"held-out: {exact} of {len(VALUES)} values, {wrong} of {len(CLEAN_LINES)} clean lines named")
+    assert exact >= 34 and wrong <= 1
