@@ -11,9 +11,9 @@ million. A cycle shrinks to a self-link; what hangs on it is peeled as usual. Re
 node's parent at its removal is already placed, which gives root, depth and path; nodes placed under a
 self-link are on or below a cycle.
 
-Every round is one aggregation and two equi-joins on node ids. No group is ever gathered: a parent with a third of all
-rows as children only receives map-side combined counts. Once no more than ``local_rows`` nodes are left (a bound that is checked),
-one task peels the rest in memory.
+Every round is one aggregation and two equi-joins on node ids, written twice. No group is ever gathered: a parent with a third of all
+rows as children only receives map-side combined counts. The rounds are the same at every size; only the last sixteenth of the nodes, and never more than
+``REST``, is peeled by one task, which saves the rounds that have next to nothing left to do.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strataline.session import materialize, remove
 
-LOCAL_ROWS = 50_000
+PART, REST = 16, 4_096
 
 
 def parents(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -53,7 +53,7 @@ def _coin(c: Column, k: int) -> Column:
 
 
 def _peel_here(paths: bool):
-    """The same peeling in memory over all nodes left (at most local_rows of them)."""
+    """The same peeling in memory over the few nodes left."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [b for b in batches if len(b)]
@@ -96,60 +96,73 @@ def _peel_here(paths: bool):
     return run
 
 
-def hierarchy(links: DataFrame, src: str = "src", dst: str = "dst", paths: bool = False, sizes: bool = False, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def _label(active: DataFrame, k: int) -> DataFrame:
+    """active (with n_kids) and what becomes of each node in round k: leaf, root, cycle, splice or stay."""
+    own = F.coalesce(F.col("par") == F.col("node"), F.lit(False))
+    splice = (F.col("n_kids") == 1) & F.col("par").isNotNull() & ~own & _coin(F.col("node"), k) & ~_coin(F.col("par"), k)
+    return active.withColumn("what", F.when(splice, "splice").when(F.col("n_kids") == 0, F.when(own, "cycle").when(F.col("par").isNull(), "root").otherwise("leaf")).otherwise("stay"))
+
+
+def _move(lab: DataFrame, seg: list[str]) -> DataFrame:
+    """Nodes whose parent is spliced out hang on the grandparent; above is the parent they had, above_own what it and the nodes between hold themselves."""
+    cut = lab.where("what = 'splice'").select(
+        F.col("node").alias("v"), F.col("par").alias("v_par"), F.col("hops").alias("v_hops"), (F.col("acc") + F.col("extra")).alias("v_send"), F.col("acc").alias("v_acc"), *[F.col(x).alias("v_" + x) for x in seg]
+    )
+    hit = F.col("v").isNotNull()
+    return lab.join(cut, lab["par"] == cut["v"], "left").select(
+        "node", "what", "acc",
+        F.when(hit, F.col("v_par")).otherwise(F.col("par")).alias("par"),
+        F.when(hit, F.col("hops") + F.col("v_hops")).otherwise(F.col("hops")).alias("hops"),
+        F.when(hit, F.col("extra") + F.col("v_send")).otherwise(F.col("extra")).alias("extra"),
+        *[F.when(hit, F.concat("v_" + x, x)).otherwise(F.col(x)).alias(x) for x in seg],
+        F.col("v").alias("above"), (F.col("v_acc") + F.col("extra")).alias("above_own"),
+    )
+
+
+def _left(moved: DataFrame, seg: list[str]) -> DataFrame:
+    """The nodes that stay, with what their leaves have sent and the number of children left: one combined aggregation on the parent."""
+    up = moved.where("par is not null and par != node and what in ('leaf', 'stay')").groupBy(F.col("par").alias("sp"))
+    got = up.agg(F.sum(F.when(F.col("what") == "leaf", F.col("acc") + F.col("extra"))).alias("sent"), F.count(F.when(F.col("what") == "stay", 1)).alias("k"))
+    stay = moved.where("what = 'stay'").select("node", "par", "hops", "acc", "extra", *seg)
+    return stay.join(got, stay["node"] == got["sp"], "left").select(
+        "node", "par", "hops", (F.col("acc") + F.coalesce("sent", F.lit(0))).alias("acc"), "extra", *seg, F.coalesce("k", F.lit(0)).alias("n_kids")
+    )
+
+
+def hierarchy(links: DataFrame, src: str = "src", dst: str = "dst", paths: bool = False, sizes: bool = False, local_rows: int | None = None) -> DataFrame:
     """(node, root, depth[, size][, path]) of every node of the forest that links describe.
 
     links: rows (src is the parent of dst); other columns are ignored, whatever their names. root, depth: a root has itself
     and 0; a node on or below a cycle has -1 in both (size -1, path null). size: nodes in its subtree, itself included. path: ids
-    from the root to the node. Nulls and repeats as in parents(); without rows the result has none.
+    from the root to the node. Nulls and repeats as in parents(); without rows the result has none. local_rows: how many nodes one task may peel at the
+    end, by default a sixteenth of them and REST at most.
     """
     seg = ["seg"] if paths else []
     spark = links.sparkSession
-    active, at = materialize(
-        parents(links, src, dst).select("node", "par", F.lit(1).alias("hops"), F.lit(1).cast("long").alias("acc"), F.lit(0).cast("long").alias("extra"), *([F.array("node").alias("seg")] if paths else [])),
-        "peel",
-    )
+    start = parents(links, src, dst).select("node", "par", F.lit(1).alias("hops"), F.lit(1).cast("long").alias("acc"), F.lit(0).cast("long").alias("extra"), *([F.array("node").alias("seg")] if paths else []), F.lit("stay").alias("what"))
+    seen = Observation()
+    last, last_at = materialize(start.observe(seen, F.count("*").alias("n")), "peel")
+    left = seen.get["n"]
+    bound = min(REST, left // PART) if local_rows is None else local_rows
     rounds: list[tuple[DataFrame, str]] = []
-    k, gone = 0, []
-    while (left := active.count()) > local_rows:
-        k += 1
-        kids = active.where("par is not null and par != node").groupBy("par").agg(F.count("*").alias("n_kids")).withColumnRenamed("par", "kp")
-        lab = active.join(kids, active["node"] == kids["kp"], "left").drop("kp").withColumn("n_kids", F.coalesce("n_kids", F.lit(0)))
-        own = F.coalesce(F.col("par") == F.col("node"), F.lit(False))
-        splice = (F.col("n_kids") == 1) & F.col("par").isNotNull() & ~own & _coin(F.col("node"), k) & ~_coin(F.col("par"), k)
-        lab, lab_at = materialize(lab.withColumn("what", F.when(splice, "splice").when(F.col("n_kids") == 0, F.when(own, "cycle").when(F.col("par").isNull(), "root").otherwise("leaf")).otherwise("stay")), "peel")
-        cut = lab.where("what = 'splice'").select(
-            F.col("node").alias("v"), F.col("par").alias("v_par"), F.col("hops").alias("v_hops"), (F.col("acc") + F.col("extra")).alias("v_send"), F.col("acc").alias("v_acc"), *([F.col("seg").alias("v_seg")] if paths else [])
-        )
-        # a node whose parent is spliced moves up before anything is recorded
-        moved = lab.join(cut, lab["par"] == cut["v"], "left")
-        hit = F.col("v").isNotNull()
-        moved = moved.select(
-            "node", "n_kids", "what", "acc",
-            F.when(hit, F.col("v_par")).otherwise(F.col("par")).alias("par"),
-            F.when(hit, F.col("hops") + F.col("v_hops")).otherwise(F.col("hops")).alias("hops"),
-            F.when(hit, F.col("extra") + F.col("v_send")).otherwise(F.col("extra")).alias("extra"),
-            *([F.when(hit, F.concat("v_seg", "seg")).otherwise(F.col("seg")).alias("seg")] if paths else []),
-            F.col("v").alias("above"), (F.col("v_acc") + F.col("extra")).alias("above_own"),
-        )
-        moved, moved_at = materialize(moved, "peel")
+    first_at = last_at
+    while left > bound:
+        lab, lab_at = materialize(_label(_left(last, seg), len(rounds) + 1), "peel")
+        seen = Observation()
+        last, last_at = materialize(_move(lab, seg).observe(seen, F.count(F.when(F.col("what") == "stay", 1)).alias("n")), "peel")
+        left = seen.get["n"]
+        remove(spark, [lab_at])
+        rounds.append((last, last_at))
+    active = _left(last, seg).drop("n_kids")
+    schema = "node long, root long, depth int, size long" + (", path array<long>" if paths else "")
+    first = active.repartition(1).mapInPandas(_peel_here(paths), schema) if left else spark.createDataFrame([], schema)
+    placed, placed_at = materialize(first, "placed")
+    gone, tables = [first_at], [placed_at]
+    for moved, done_at in reversed(rounds):
         done = moved.where("what != 'stay'").select("node", "par", "hops", "acc", "what", *seg)
         if sizes:
             below = moved.where("above is not null").select(F.col("above").alias("node"), F.col("node").alias("kid"), F.col("above_own").alias("own"))
             done = done.join(below, "node", "left")
-        rounds.append(materialize(done, "peel"))
-        sent = moved.where("what = 'leaf'").groupBy(F.col("par").alias("sp")).agg(F.sum(F.col("acc") + F.col("extra")).alias("sent"))
-        stay = moved.where("what = 'stay'").select("node", "par", "hops", "acc", "extra", *seg)
-        nxt = stay.join(sent, stay["node"] == sent["sp"], "left").select("node", "par", "hops", (F.col("acc") + F.coalesce("sent", F.lit(0))).alias("acc"), "extra", *seg)
-        gone += [at, lab_at, moved_at]
-        active, at = materialize(nxt, "peel")
-        remove(spark, gone)
-        gone = []
-    schema = "node long, root long, depth int, size long" + (", path array<long>" if paths else "")
-    first = active.repartition(1).mapInPandas(_peel_here(paths), schema) if left else spark.createDataFrame([], schema)
-    placed, placed_at = materialize(first, "placed")
-    gone, tables = [at], [placed_at]
-    for done, done_at in reversed(rounds):
         up = placed.select(F.col("node").alias("u"), F.col("root").alias("u_root"), F.col("depth").alias("u_depth"), *([F.col("path").alias("u_path")] if paths else []))
         j = done.join(up, (done["par"] == up["u"]) & done["what"].isin("leaf", "splice"), "left")
         is_root, ok = F.col("what") == "root", F.col("u_depth") >= 0

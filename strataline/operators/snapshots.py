@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataline.session import materialize
+
 
 def clean_path(c: Column) -> Column:
     """Single forward slashes, no leading ./ ."""
@@ -26,12 +28,12 @@ def latest(listing: DataFrame) -> DataFrame:
 def changes(listing: DataFrame) -> DataFrame:
     """(repo_id, version_id, path, change): added, removed or changed against the repository's build before.
 
-    Identical rows are taken out by EXCEPT ALL in both directions; only what remains is full-joined by key. All keys hold the path, so a
+    The state of each build is made once and written, as several steps read it. Identical rows are taken out by EXCEPT ALL in both directions; only what remains is full-joined by key. All keys hold the path, so a
     repository with a third of all rows is spread over all tasks. Repeated rows and late builds make no difference; a repository with one build,
     or an empty listing, gives no row.
     """
-    state = latest(listing)
-    builds = listing.where("repo_id is not null and version_id is not null and path is not null").select("repo_id", "version_id").distinct()
+    state, _ = materialize(latest(listing), "state")
+    builds = state.select("repo_id", "version_id").distinct()
     w = Window.partitionBy("repo_id").orderBy("version_id")  # builds of one repository: a handful of rows
     pairs = builds.withColumn("next_id", F.lead("version_id").over(w)).withColumn("prior_id", F.lag("version_id").over(w))
     j = state.join(pairs, ["repo_id", "version_id"])
