@@ -1,8 +1,9 @@
 """Functions paired with their documentation.
 
-A symbol table of qualified names (repository, enclosing class, name, normalised signature) is built across files. The description is the
-symbol's own summary or the documentation inside its code; a definition without either takes it from a declaration without body that has the same
-qualified name and signature. What says nothing beyond name and parameters is filtered out last.
+A symbol table of qualified names (repository, enclosing class, name, normalised signature) is built across files. Documented declarations without
+body are joined to the definitions of the same qualified name and signature, overloads told apart by the signature. Only then the texts of each symbol are judged: its own
+summary, the documentation inside its code, what its declaration says; the first that tells something beyond name and parameters is its description, and symbols
+without any are left out.
 """
 
 from __future__ import annotations
@@ -38,12 +39,12 @@ _PARAM_XML = re.compile(r"<(param|returns|exception|typeparam)\b.*?</\1>", re.I
 _BLOCK_TAG = re.compile(r"(?:^|\s)[@\\](?:param|returns?|throws?|exception|see|since|author|version|deprecated|override|type|var|todo|inheritdoc|private|public|internal|api|link|yields?|arg(?:ument)?|prop(?:erty)?|typedef|template|constructor|class|static|async|function|method|name|memberof|package|license|copyright)\b.*", re.I | re.S)
 _FIELD = re.compile(r"(?:^|\s):(?:param|type|return|returns|rtype|raises?)\b[^:]*:.*|^\s*(?:Args|Arguments|Parameters|Returns|Raises|Yields)\s*:\s*$.*", re.I | re.S | re.M)
 _EMPTY = re.compile(
-    r"\W*(?:(?:todo|fixme|xxx|hack|tbd|wip)\b.*|n/?a|none|null|nothing|see (?:above|below|there|also.*)|same as above|ditto|as above|no (?:description|documentation|comment|docs?)\b.*|(?:missing|add|needs?|write) (?:a )?(?:description|documentation|docs?|comment)\b.*|description|documentation|undocumented|document (?:me|this).*|placeholder|lorem ipsum.*|"
+    r"\W*(?:(?:todo|fixme|xxx|hack|tbd|wip)\b.*|n/?a|none|null|nothing|see (?:above|below|there|also.*)|same as above|ditto|as above|no (?:description|documentation|comment|docs?)\b.*|(?:missing|add|needs?|write) (?:a )?(?:description|documentation|docs?|comment)s?(?: (?:here|later|for this|missing))?|description|documentation|undocumented|document (?:me|this).*|placeholder|lorem ipsum.*|"
     r"auto-?generated\b.*|generated (?:method|code|by)\b.*|(?:end)?region\b.*|#?(?:end)?region\b.*|noinspection\b.*|eslint[\- ].*|@?ts-(?:ignore|expect-error|nocheck).*|tslint:.*|istanbul .*|prettier-ignore.*|pylint:.*|noqa\b.*|type: ?ignore.*|pragma\b.*|nosonar.*|phpcs:.*|@?phpstan-.*|psalm-.*|jshint .*|coverage:.*|rubocop:.*|c8 ignore.*|biome-ignore.*|mypy:.*|flake8:.*|resharper .*|nolint.*|"
     r"(?:getter|setter|constructor|destructor|ctor|accessor|mutator|helper|util(?:ity)?|internal|private|public|deprecated|override)s?(?: (?:method|function))?|inherit(?:ed)?doc.*|\.\.\.)\W*",
     re.I | re.S,
 )
-_LICENCE = re.compile(r"\bcopyright\b|\blicen[sc]ed? under\b|\ball rights reserved\b|spdx-license|\bpermission is hereby granted\b|\bmit license\b|\bapache license\b|\bwarranty\b", re.I)
+_LICENCE = re.compile(r"\bcopyright\s*(?:\(c\)|©|\d{4}|by\b|the\b)|^\W*copyright\b|\blicen[sc]ed? under\b|\ball rights reserved\b|spdx-license|\bpermission is hereby granted\b|\bmit license\b|\bapache license\b|\bwithout (?:any )?warrant(?:y|ies)\b|\bany express or implied warrant", re.I)
 _CODE = re.compile(
     r"^\W*(?:(?:return|if|for|while|const|let|var|import|from|def|function|public|private|throw|await|print|else|try|catch|switch|case|foreach|using|raise|elif|with|yield|assert|del)\b[^.!?]*[;{}()=\[\]:]+[^.!?]*|[\w$.>\[\]\-]+\s*\([^()]*(?:\([^()]*\)[^()]*)*\)\s*[;{:]?|[$\w.>\[\]\-]+\s*(?:[+\-*/|&]?=|=>|:=)\s*\S.*|[})\];]+|.*[;{}]\s*)$"
 )
@@ -92,23 +93,24 @@ def telling(doc: str | None, name: str | None, signature: str | None) -> str | N
         return None
     known = {stem(w) for w in words(name or "")} | {stem(w) for w in words(signature or "")}
     said = [w for w in words(t) if w not in GENERIC]
-    new = {stem(w) for w in said if not w.isdigit()} - known
+    new = {stem(w) for w in said if not w.isdigit() and 3 <= len(w) < 40} - known
     cjk = sum("぀" <= c <= "鿿" for c in t)
-    return t if len(new) >= 2 or cjk >= 4 else None
+    return t if new or cjk >= 4 else None
 
 
-@F.pandas_udf(T.StringType())
-def describe(it: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """(summary, documentation in code, name, signature) to the description or null."""
-    for summary, inside, name, signature in it:
+@F.pandas_udf(T.StructType().add("description", T.StringType()).add("origin", T.StringType()))
+def describe(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    """(summary, documentation in code, the declaration's two, name, signature) to the first telling text and whose it is (own, declaration), or nulls."""
+    for columns in it:
         out = []
-        for s, d, n, g in zip(summary, inside, name, signature):
-            g = g if isinstance(g, str) else None
-            n = n if isinstance(n, str) else None
-            s = s if isinstance(s, str) else None
-            d = d if isinstance(d, str) else None
-            out.append((telling(s, n, g) if s and s.strip() else None) or telling(d, n, g))
-        yield pd.Series(out, dtype=object)
+        for *texts, name, signature in zip(*(c.astype(object).where(c.notna(), None) for c in columns)):
+            best = (None, None)
+            for k, t in enumerate(texts):
+                if t and t.strip() and (said := telling(t, name, signature)):
+                    best = (said, "own" if k < 2 else "declaration")
+                    break
+            out.append(best)
+        yield pd.DataFrame(out, columns=["description", "origin"], dtype=object)
 
 
 def normal_signature(sig: Column) -> Column:
@@ -117,36 +119,45 @@ def normal_signature(sig: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(inner, r"\s*=\s*[^,()]+", ""), r"\b(?:final|const|in|out|ref|readonly|self|this|mut)\b|[\s$&*?]", ""))
 
 
+def lent(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(symbol_id, l_summary, l_inside): what the documented bodiless declaration of the same qualified name and signature says, for each definition that has one.
+
+    rows: symbol_id, repo, file_id, name, key, start_byte, end_byte, summary, inside, bodiless. Name and signature meet first; the enclosing class is looked up only for
+    what is left, so that the join on files stays small. Of several declarations the smallest id lends.
+    """
+    keys = ["repo", "name", "key"]
+    says = F.length(F.trim(F.concat_ws("", "summary", "inside"))) > 0
+    lenders = rows.where("bodiless and name is not null").where(says)
+    takers = rows.where("not bodiless and name is not null").join(lenders.select(*keys).distinct(), keys, "left_semi")
+    lenders = lenders.join(takers.select(*keys).distinct(), keys, "left_semi")
+
+    def qualified(df: DataFrame) -> DataFrame:
+        at = df.select("symbol_id", "file_id", "start_byte", "end_byte")
+        j = at.join(classes, (at["file_id"] == classes["cf"]) & (F.col("start_byte") >= F.col("cs")) & (F.col("end_byte") <= F.col("ce")))
+        inner = j.groupBy("symbol_id").agg(F.min(F.struct(F.col("ce") - F.col("cs"), F.col("owner"))).alias("c")).select("symbol_id", F.col("c.owner").alias("owner"))  # the innermost class
+        return df.join(inner, "symbol_id", "left").withColumn("owner", F.coalesce("owner", F.lit("")))
+
+    lend = qualified(lenders).groupBy("owner", *keys).agg(F.min(F.struct("symbol_id", "summary", "inside")).alias("l"))
+    return qualified(takers).select("symbol_id", "owner", *keys).join(lend, ["owner", *keys]).select("symbol_id", F.col("l.summary").alias("l_summary"), F.col("l.inside").alias("l_inside"))
+
+
 def documented(symbols: DataFrame, chunks: DataFrame, files: DataFrame, with_code: bool = True) -> DataFrame:
     """(symbol_id, name, signature, description, origin[, code]) of functions and methods whose code is not null and that have a telling description.
 
     origin: own, or declaration where a bodiless declaration of the same qualified name and signature, in whatever file of the repository, is the one
-    that is documented. Each symbol once; repeated rows, extra columns, null names and signatures are harmless; empty tables give no row.
+    that tells something. Each symbol once; repeated rows, extra columns, null names and signatures are harmless; empty tables give no row.
     """
     doc = chunks.where("symbol_id is not null and code is not null").select(
         "symbol_id", "summary", doc_in_code(F.col("code")).alias("inside"), (~F.col("code").rlike(r"[{]|:\s*(?:#[^\n]*)?\n|=>|:\s*\S+\s*$")).alias("bodiless")
     )
-    own = symbols.where(F.col("kind").isin(KINDS)).select(F.col("id").alias("symbol_id"), "file_id", "name", "signature", "start_byte", "end_byte")
-    # no code from here on: the table of names and descriptions is narrow and read several times
-    rows = own.join(doc, "symbol_id").withColumn("description", describe("summary", "inside", "name", "signature")).drop("summary", "inside")
-    rows, _ = materialize(rows, "documented")
-    direct = rows.where("description is not null").select("symbol_id", "name", "signature", "description", F.lit("own").alias("origin"))
-
-    # declarations and definitions apart: only bodiless documented symbols can lend their description
-    lenders = rows.where("bodiless and description is not null and name is not null").select("symbol_id", "file_id", "name", "signature", "start_byte", "end_byte", "description")
+    own = symbols.where(F.col("kind").isin(KINDS)).select(F.col("id").alias("symbol_id"), "file_id", "name", "signature", "start_byte", "end_byte", normal_signature(F.coalesce("signature", F.lit(""))).alias("key"))
+    # no code from here on: the table of names and comments is narrow and read several times
+    rows, _ = materialize(own.join(doc, "symbol_id").dropDuplicates(["symbol_id"]), "documented")
+    repos = files.select(F.col("id").alias("file_id"), F.coalesce("repo_id", F.lit("")).alias("repo")).distinct()
     classes = symbols.where("kind = 'class' and start_byte is not null").select(F.col("file_id").alias("cf"), F.col("name").alias("owner"), F.col("start_byte").alias("cs"), F.col("end_byte").alias("ce"))
-    repos = files.select(F.col("id").alias("rf"), F.coalesce("repo_id", F.lit("")).alias("repo"))
-
-    def qualified(df: DataFrame) -> DataFrame:
-        j = df.join(repos, F.col("file_id") == F.col("rf")).join(classes, (F.col("file_id") == F.col("cf")) & (F.col("start_byte") >= F.col("cs")) & (F.col("end_byte") <= F.col("ce")), "left")
-        inner = F.min_by(F.col("owner"), F.coalesce(F.col("ce") - F.col("cs"), F.lit(0)))  # the innermost class
-        keep = [c for c in df.columns if c not in ("start_byte", "end_byte", "file_id")]
-        return j.groupBy("symbol_id").agg(*[F.first(c).alias(c) for c in keep if c != "symbol_id"], F.first("repo").alias("repo"), F.coalesce(inner, F.lit("")).alias("owner")).withColumn("key", normal_signature(F.coalesce("signature", F.lit(""))))
-
-    lend = qualified(lenders).groupBy("repo", "owner", "name", "key").agg(F.min_by("description", "symbol_id").alias("description"))
-    bare = qualified(rows.where("description is null and not bodiless and name is not null").select("symbol_id", "file_id", "name", "signature", "start_byte", "end_byte"))
-    lent = bare.join(lend, ["repo", "owner", "name", "key"]).select("symbol_id", "name", "signature", "description", F.lit("declaration").alias("origin"))
-    pairs = direct.unionByName(lent).dropDuplicates(["symbol_id"])
+    taken = lent(rows.join(repos, "file_id"), classes)
+    told = rows.join(taken, "symbol_id", "left").select("symbol_id", "name", "signature", describe("summary", "inside", "l_summary", "l_inside", "name", "signature").alias("d"))
+    pairs = told.where("d.description is not null").select("symbol_id", "name", "signature", "d.description", "d.origin")
     if not with_code:
         return pairs
     return pairs.join(chunks.where("code is not null").select("symbol_id", "code").dropDuplicates(["symbol_id"]), "symbol_id")

@@ -25,6 +25,11 @@ from strataline.llm.documented import documented, telling
         (None, None, None, False),
         ("  \n", "f", "f()", False),
         ("x" * 200_000, "f", "f()", False),
+        ("Closes the socket.", "close", "close()", True),
+        ("Add a comment to the issue and notify its watchers.", "f", "f()", True),
+        ("Add comment.", "f", "f()", False),
+        ("Registers the warranty of a sold device.", "f", "f()", True),
+        ("Licensed under the MIT License, without warranty.", "f", "f()", False),
     ],
 )
 def test_telling(doc, name, sig, want):
