@@ -6,7 +6,7 @@ An item is cut into ranges of ``range_bytes``. A worker sees one range with a ha
    neighbours see those bytes and so agree on it;
 2. inside its borders each worker cuts greedily at the best boundary of the last half of the room a piece has;
 3. the tables of cuts are stitched: a running sum of the ranges' counts numbers the pieces (a window over ranges, not over pieces);
-4. pieces are emitted by offset, again from ranges with halos.
+4. pieces are emitted by offset, again from ranges with halos. In an item of one range the numbers are known at once, so that its text is never shuffled.
 
 Boundaries, best first: an empty line before unindented text, any empty line, a line end before unindented text, any line
 end, blank or ; or , , any whole character.
@@ -17,9 +17,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataline.session import materialize
+
 LIMIT, OVERLAP, RANGE = 2_000, 200, 65_536
 
 
@@ -109,19 +112,25 @@ def ranges(items: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: i
 CUTS = "key long, n int, k int, j int, first int, begin int, stop int"
 
 
-def cuts(rows: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE) -> DataFrame:
-    """The boundary table: one row a piece with its range k and its place j in the range."""
+def cuts(rows: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE, emit: bool = False) -> DataFrame:
+    """The boundary table: one row a piece with its range k and its place j in the range; with emit also its text."""
     halo = _check(limit, overlap, range_bytes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
             out = []
             for key, n, k, off, b in zip(t["key"], t["n"], t["k"], t["off"], t["slice"]):
-                found = cut_range(bytes(b), off, n, k * range_bytes, min(n, (k + 1) * range_bytes), limit, overlap, halo)
-                out += [(key, n, k, j, *x) for j, x in enumerate(found)]
-            yield pd.DataFrame(out, columns=["key", "n", "k", "j", "first", "begin", "stop"])
+                b = bytes(b)
+                found = cut_range(b, off, n, k * range_bytes, min(n, (k + 1) * range_bytes), limit, overlap, halo)
+                out += [(key, n, k, j, *x, *([b[x[0] - off : x[2] - off].decode("utf-8", "replace")] if emit else [])) for j, x in enumerate(found)]
+            yield pd.DataFrame(out, columns=["key", "n", "k", "j", "first", "begin", "stop"] + ["piece"] * emit)
+
+    return rows.mapInPandas(run, CUTS + ", piece string" * emit)
+
 
-    return rows.mapInPandas(run, CUTS)
+def stitched(counts: DataFrame) -> DataFrame:
+    """(key, k, base): how many pieces the ranges before range k have. counts: (key, k, m), a row a range."""
+    return counts.select("key", "k", F.coalesce(F.sum("m").over(Window.partitionBy("key").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
 
 
 def pieces(items: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE) -> DataFrame:
@@ -131,30 +140,51 @@ def pieces(items: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: i
     the piece's bytes in the item, begin where its new bytes start: begin..stop of all pieces give the item back. Columns other than key
     and text are ignored.
     """
+    columns = ["key", "piece_no", "first", "begin", "stop", "piece"]
     r = ranges(items, key, text, limit, overlap, range_bytes)
-    c = cuts(r, limit, overlap, range_bytes)
-    base = c.groupBy("key", "k").agg(F.count("*").alias("m")).withColumn("base", F.sum("m").over(Window.partitionBy("key").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)))
-    c = c.join(base.select("key", "k", F.coalesce("base", F.lit(0)).alias("base")), ["key", "k"])
-    # the slice of range k holds all bytes of its pieces, overlap included
-    return c.join(r.select("key", "k", "off", "slice"), ["key", "k"]).select(
-        "key", (F.col("base") + F.col("j")).cast("int").alias("piece_no"), "first", "begin", "stop", F.decode(F.substring("slice", F.col("first") - F.col("off") + 1, F.col("stop") - F.col("first")), "UTF-8").alias("piece")
-    )
+    one = cuts(r.where(F.col("n") <= range_bytes), limit, overlap, range_bytes, emit=True).withColumn("piece_no", F.col("j"))
+    many = r.where(F.col("n") > range_bytes)
+    base = stitched(cuts(many, limit, overlap, range_bytes).groupBy("key", "k").agg(F.count("*").alias("m")))
+    c = cuts(many, limit, overlap, range_bytes, emit=True).join(base, ["key", "k"]).withColumn("piece_no", (F.col("base") + F.col("j")).cast("int"))
+    return one.select(*columns).unionByName(c.select(*columns))
+
+
+def _read(path: str, off: int, n: int) -> bytes:
+    """n bytes from off on of a file on any file system that workers reach (a URI, or a path of a mounted one)."""
+    fs, name = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    with fs.open_input_file(name) as f:
+        return f.read_at(n, off)
 
 
 def file_cuts(files: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = 8 << 20) -> DataFrame:
     """The boundary table of files on a shared file system: rows (key long, path, n bytes); each task reads its byte range and halo only."""
     halo = _check(limit, overlap, range_bytes)
-    r = files.where(f"n > {limit}").select("key", "path", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {range_bytes}"))).alias("k"))
+    r = files.where(f"n > {limit}").select("key", "path", F.col("n").cast("long").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {range_bytes}"))).alias("k"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
             for key, path, n, k in zip(t["key"], t["path"], t["n"], t["k"]):
                 off = max(0, k * range_bytes - overlap - 8)
-                with open(path, "rb") as f:
-                    f.seek(off)
-                    b = f.read(range_bytes + overlap + 8 + 2 * halo + 8)
+                b = _read(path, off, min(n - off, range_bytes + overlap + 8 + 2 * halo + 8))
                 found = cut_range(b, off, n, k * range_bytes, min(n, (k + 1) * range_bytes), limit, overlap, halo)
-                yield pd.DataFrame([(key, k, j, *x) for j, x in enumerate(found)], columns=["key", "k", "j", "first", "begin", "stop"])
+                yield pd.DataFrame([(key, path, k, j, *x) for j, x in enumerate(found)], columns=["key", "path", "k", "j", "first", "begin", "stop"])
 
     # range borders are spread over tasks whatever file they belong to
-    return r.repartition("key", "k").mapInPandas(run, "key long, k long, j int, first long, begin long, stop long")
+    return r.repartition("key", "k").mapInPandas(run, "key long, path string, k long, j int, first long, begin long, stop long")
+
+
+def file_pieces(files: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = 8 << 20) -> DataFrame:
+    """(key, piece_no, first, begin, stop, piece) as pieces() gives them, of files that are never read whole: boundary tables of ranges, stitched, then emission by offset.
+
+    files: (key long, path, n), n the file's size in bytes. Files of limit bytes or less and null rows give no row. Of a range's pieces one stretch is read at a time.
+    """
+    c, _ = materialize(file_cuts(files, limit, overlap, range_bytes), "cuts")  # narrow, read twice
+    base = stitched(c.groupBy("key", "k").agg(F.count("*").alias("m")))
+    at = c.join(base, ["key", "k"]).select("key", "path", (F.col("base") + F.col("j")).alias("piece_no"), "first", "begin", "stop")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            t["piece"] = [_read(p, a, z - a).decode("utf-8", "replace") for p, a, z in zip(t["path"], t["first"], t["stop"])]
+            yield t[["key", "piece_no", "first", "begin", "stop", "piece"]]
+
+    return at.mapInPandas(run, "key long, piece_no long, first long, begin long, stop long, piece string")

@@ -77,6 +77,9 @@ _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 _CODE_END = re.compile(r"(?:[;{},\\]|\(\)|=>|\)\s*:)$")
 _BOX = re.compile(r"[│├└┌┐┘─┬┴┼║═╔╗╚╝]")
 _HARD = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}", re.I)
+_MARKS, _UPPER = re.compile(r"[\W_]"), re.compile("[A-Z]")
+_IDENT_HINT = re.compile(r"\.\w|[a-z0-9][A-Z]")
+_RUN = re.compile(r"((\S)\2{4,})")
 NAMES = (
     "words word_len symbols digits capitals common common_pairs odd end capital commas idents cjk particles bullet pipes braces time unique hard repeat code_end cells box lead "
     "p_common p_symbols p_words p_idents p_ends p_lines p_unique p_chars d_common d_dup"
@@ -96,26 +99,34 @@ def line_stats(line: str, common: set[str]) -> tuple[list[float], int]:
     core = core.strip()
     plain = _TICK.sub(" x ", core)
     words = _W.findall(plain)
-    low = [w.lower() for w in words]
+    low = plain.lower()
+    low = _W.findall(low) if len(low) == len(plain) else [w.lower() for w in words]
     k = len(words) or 1
     hit = [w in common for w in low]
     pairs = odd = 0
-    for i in range(1, len(low)):
-        if hit[i]:
-            pairs += hit[i - 1]
-            odd += low[i - 1] in ARTICLES or low[i - 1] == low[i]
+    before = ""
+    seen = False
+    for w, h in zip(low, hit):
+        if h and before:
+            pairs += seen
+            odd += before in ARTICLES or before == w
+        before, seen = w, h
     m = len(core) or 1
-    cjk = _CJK.findall(core)
+    ascii_only = core.isascii()  # spares the look at each character
+    cjk = [] if ascii_only else _CJK.findall(core)
     solid = "".join(core.split())
     s = len(solid) or 1
-    alnum = sum(c.isalnum() for c in solid)
-    idents = sum(len(x) for x in _IDENT.findall(plain))
-    repeat = max((len(g) for g in re.findall(r"((\S)\2{4,})", core) for g in g[:1]), default=0) if n > 4 else 0
-    pair_repeat = s - len(set(zip(solid, solid[1:])))
+    alnum = len(solid) - len(_MARKS.findall(solid))
+    digits = sum(map(solid.count, "0123456789")) if ascii_only else sum(map(str.isdigit, solid))
+    upper = len(_UPPER.findall(solid)) if ascii_only else sum(map(str.isupper, solid))
+    idents = sum(map(len, _IDENT.findall(plain))) if "_" in plain or "/" in plain or "(" in plain or "=" in plain or _IDENT_HINT.search(plain) else 0
+    repeat = max((len(g[0]) for g in _RUN.findall(core)), default=0) if n > 4 and any(c * 5 in solid for c in set(solid)) else 0
+    pair_repeat = s - len(set(zip(solid, solid[1:]))) if s > 60 else 0
+    hard = sum(bool(_HARD.search(w)) for w in words) if _HARD.search(plain) else 0
     return [
-        float(len(words)), sum(map(len, words)) / k, 1 - alnum / s, sum(c.isdigit() for c in solid) / s, sum(c.isupper() for c in solid) / s, sum(hit) / k, pairs / k, max(0, odd - 1) / k,
+        float(len(words)), sum(map(len, words)) / k, 1 - alnum / s, digits / s, upper / s, sum(hit) / k, pairs / k, max(0, odd - 1) / k,
         float(bool(_END.search(core))), float(core[:1].isupper() or core[:1] in "\"'“«¿¡"), plain.count(",") / k, idents / m, len(cjk) / s, sum(c in common for c in cjk) / (len(cjk) or 1), bullet, core.count("|") / k,
-        sum(core.count(c) for c in "{}[]=<>") / m, float(bool(_TIME.match(core))), len(set(low)) / k, sum(bool(_HARD.search(w)) for w in words) / k, repeat / m + (pair_repeat / s > 0.95 and s > 60), float(bool(_CODE_END.search(core))), cells, len(_BOX.findall(line)) / (n or 1), float(bool(lead)),
+        sum(map(core.count, "{}[]=<>")) / m, float(bool(_TIME.match(core))), len(set(low)) / k, hard / k, repeat / m + (pair_repeat / s > 0.95 and s > 60), float(bool(_CODE_END.search(core))), cells, (0 if line.isascii() else len(_BOX.findall(line))) / (n or 1), float(bool(lead)),
     ], n
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataline.llm import bpe, credentials, documented, mixture, pieces, prose, provenance
@@ -23,6 +23,24 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of whole chunks cut by ranges so small that most items span several: what they hold together, for comparison with the items."""
+    items = table(spark, d, "chunks").where(F.octet_length("code") > pieces.LIMIT).select("symbol_id", "code").dropDuplicates(["symbol_id"])
+    p = pieces.pieces(items, "symbol_id", "code", range_bytes=4 * pieces.LIMIT)
+    new = F.decode(F.substring(F.encode("piece", "UTF-8"), F.col("begin") - F.col("first") + 1, F.col("stop") - F.col("begin")), "UTF-8")
+    p = p.select("key", "piece_no", "begin", "stop", "piece", new.alias("new")).withColumn("before", F.lag("stop", 1, 0).over(Window.partitionBy("key").orderBy("piece_no")))
+    return p.groupBy(F.col("key").alias("symbol_id")).agg(
+        F.sum(F.octet_length("new")).cast("long").alias("n_bytes"),
+        F.sum(F.char_length("new")).cast("long").alias("n_chars"),
+        F.sum(F.char_length(F.regexp_replace("new", "[^\n]", ""))).cast("long").alias("n_lines"),
+        F.sum(F.char_length(F.regexp_replace("new", "[^aeiou]", ""))).cast("long").alias("n_vowels"),
+        F.sum((F.col("begin") != F.col("before")).cast("int")).cast("long").alias("gaps"),
+        F.sum((F.octet_length("piece") > pieces.LIMIT).cast("int")).cast("long").alias("too_long"),
+        F.max("piece_no").cast("long").alias("last_no"),
+        (F.count("*") - 1).alias("last_no_counted"),
+    ).where("last_no = last_no_counted").drop("last_no", "last_no_counted")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(unique(spark, d, "documents", "text"))
 
@@ -39,18 +57,22 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return code.unionByName(keys)
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_redacted": p4_redacted, "p7_ids": p7_ids}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_ranges": p3_ranges, "p4_found": p4_found, "p4_redacted": p4_redacted, "p7_ids": p7_ids}
 
-SQL = {"p3_found": "SELECT DISTINCT symbol_id FROM chunks WHERE octet_length(encode(code)) > 2000"}
+SQL = {
+    "p3_found": "SELECT DISTINCT symbol_id FROM chunks WHERE octet_length(encode(code)) > 2000",
+    "p3_ranges": r"""SELECT symbol_id, octet_length(encode(code))::BIGINT AS n_bytes, length(code)::BIGINT AS n_chars, length(regexp_replace(code, '[^\n]', '', 'g'))::BIGINT AS n_lines, length(regexp_replace(code, '[^aeiou]', '', 'g'))::BIGINT AS n_vowels,
+0::BIGINT AS gaps, 0::BIGINT AS too_long FROM (SELECT DISTINCT symbol_id, code FROM chunks WHERE octet_length(encode(code)) > 2000)""",
+}
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    s = prose.shares(unique(spark, d, "documents", "text"), table(spark, d, "common_words"))
-    return s.where("prose_share >= 0 and prose_share < 0.5").select("doc_id")
+    s = prose.shares(table(spark, d, "documents"), table(spark, d, "common_words"))
+    return s.where("prose_share >= 0 and prose_share < 0.5").select("doc_id").distinct()  # ids are shuffled, not texts
 
 
 def p9_stats(spark: SparkSession, d: str) -> DataFrame:
-    return prose.statistics(unique(spark, d, "documents", "text"), table(spark, d, "common_words"))
+    return prose.statistics(table(spark, d, "documents").where("doc_id is not null"), table(spark, d, "common_words")).dropDuplicates(["doc_id"])
 
 
 QUERIES |= {"p9_found": p9_found, "p9_stats": p9_stats}
@@ -88,9 +110,9 @@ QUERIES |= {"p5_found": p5_found, "p5_pairs": p5_pairs}
 
 
 def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = unique(spark, d, "documents", "text", "source")
-    n = bpe.encode(docs.withColumn("k", F.struct("doc_id", "source")), "k", "text", count_only=True)
-    return mixture.mixture(n.select("k.doc_id", "k.source", "n_tokens"), table(spark, d, "mix_targets"))
+    docs = table(spark, d, "documents").select(F.struct("doc_id", "source").alias("k"), "text")
+    n = bpe.encode(docs, "k", "text", count_only=True)  # counted before repeats go, so that no text is shuffled
+    return mixture.mixture(n.select("k.doc_id", "k.source", "n_tokens").dropDuplicates(["doc_id"]), table(spark, d, "mix_targets"))
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:

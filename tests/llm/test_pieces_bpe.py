@@ -48,11 +48,27 @@ def test_pieces_empty(spark):
     assert pieces.pieces(df, "symbol_id", "code").collect() == []
 
 
+def test_files_are_cut_and_emitted_by_seeking(spark, tmp_path):
+    body = "".join(f"def f{i}():\n    return 'ä{i}'\n\n" for i in range(3_000))
+    rows = []
+    for k, t in enumerate([body, "x" * 30_000 + "\n" + body[:5_000], "short", ""]):
+        (tmp_path / f"{k}.py").write_bytes(t.encode())
+        rows.append((k, f"file://{tmp_path}/{k}.py" if k % 2 else f"{tmp_path}/{k}.py", len(t.encode())))
+    got = pieces.file_pieces(spark.createDataFrame(rows, "key long, path string, n long"), range_bytes=8_192).orderBy("key", "piece_no").collect()
+    for k, t in enumerate([body, "x" * 30_000 + "\n" + body[:5_000]]):
+        mine = [r for r in got if r.key == k]
+        assert [r.piece_no for r in mine] == list(range(len(mine)))
+        assert "".join(r.piece.encode()[r.begin - r.first :].decode() for r in mine) == t
+        assert max(len(r.piece.encode()) for r in mine) <= pieces.LIMIT
+        assert all(a.stop == b.begin for a, b in zip(mine, mine[1:]))
+    assert {r.key for r in got} == {0, 1}
+
+
 def test_file_ranges_equal_column_ranges(spark, tmp_path):
     text = "".join(f"line {i} größe\n" * (i % 3 + 1) for i in range(900))
     (tmp_path / "a").write_text(text)
     files = spark.createDataFrame([(1, str(tmp_path / "a"), len(text.encode()))], "key long, path string, n long")
-    a = sorted(tuple(r)[3:] for r in pieces.file_cuts(files, range_bytes=8192).collect())
+    a = sorted(tuple(r)[4:] for r in pieces.file_cuts(files, range_bytes=8192).collect())
     df = spark.createDataFrame([(1, text)], "symbol_id long, code string")
     assert a == sorted((r.first, r.begin, r.stop) for r in pieces.pieces(df, "symbol_id", "code", range_bytes=8192).collect())
 
