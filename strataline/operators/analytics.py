@@ -180,13 +180,15 @@ MAX_ITEMS, BUDGET = 60, 24_000
 def bundle(items: DataFrame, budget: int = BUDGET, max_items: int = MAX_ITEMS) -> DataFrame:
     """(task_id, item_id, tier, place, with_code, with_signature, used): a greedy fill of each task's budget.
 
-    items: (task_id, item_id, tier primary|hop1|hop2plus, pos, code_cost, meta_cost). The first max_items by tier and pos are considered (the cap is the feature, so each task's
-    group is bounded). Code goes in while it fits, never for hop2plus; what comes too late loses its code, once anything is cut neighbours lose their signature, once the budget is
+    items: (task_id, item_id, tier primary|hop1|hop2plus, pos, code_cost, meta_cost[, bare_cost: meta_cost without the signature]). The first max_items by tier and pos are considered (the cap is the feature, so each task's
+    group is bounded). Code goes in while it fits, never for hop2plus; what comes too late or has none loses its code, once anything is cut neighbours lose their signature, once the budget is
     spent neighbours are dropped.
     """
     order = F.when(F.col("tier") == "primary", 0).when(F.col("tier") == "hop1", 1).otherwise(2)
+    if "bare_cost" not in items.columns:
+        items = items.withColumn("bare_cost", F.col("meta_cost"))
     top = items.withColumn("place", F.row_number().over(Window.partitionBy("task_id").orderBy(order, "pos", "item_id"))).where(F.col("place") <= max_items)
-    arr = F.array_sort(F.collect_list(F.struct("place", "item_id", "tier", "code_cost", "meta_cost")))
+    arr = F.array_sort(F.collect_list(F.struct("place", "item_id", "tier", "code_cost", "meta_cost", "bare_cost")))
     g = top.groupBy("task_id").agg(arr.alias("items"))
     zero = F.expr("named_struct('used', 0L, 'cut', false, 'out', cast(array() as array<struct<place:int,item_id:bigint,tier:string,with_code:boolean,with_signature:boolean,used:bigint>>))")
 
@@ -195,27 +197,29 @@ def bundle(items: DataFrame, budget: int = BUDGET, max_items: int = MAX_ITEMS) -
         drop = ~primary & (a["used"] >= budget)
         wants = x["tier"] != "hop2plus"
         fits = wants & x["code_cost"].isNotNull() & (a["used"] < budget) & (a["used"] + x["code_cost"] <= budget)
-        cut = a["cut"] | drop | (wants & ~F.coalesce(fits, F.lit(False)) & x["code_cost"].isNotNull())
         code = F.coalesce(fits, F.lit(False))
-        used = F.when(drop, a["used"]).otherwise(a["used"] + F.when(code, x["code_cost"]).otherwise(0) + x["meta_cost"]).cast("long")
-        row = F.struct(x["place"].alias("place"), x["item_id"].alias("item_id"), x["tier"].alias("tier"), code.alias("with_code"), (primary | ~cut).alias("with_signature"), used.alias("used"))
+        cut = a["cut"] | drop | (wants & ~code)
+        signed = primary | ~cut
+        used = F.when(drop, a["used"]).otherwise(a["used"] + F.when(code, x["code_cost"]).otherwise(0) + F.when(signed, x["meta_cost"]).otherwise(x["bare_cost"])).cast("long")
+        row = F.struct(x["place"].alias("place"), x["item_id"].alias("item_id"), x["tier"].alias("tier"), code.alias("with_code"), signed.alias("with_signature"), used.alias("used"))
         return F.struct(used.alias("used"), cut.alias("cut"), F.when(drop, a["out"]).otherwise(F.concat(a["out"], F.array(row))).alias("out"))
 
     return g.select("task_id", F.explode(F.aggregate("items", zero, step)["out"]).alias("o")).select("task_id", "o.*")
 
 
 def fold(items: list[tuple], budget: int = BUDGET) -> Iterator[tuple]:
-    """The same fill for one task on the driver; items (tier, code_cost, meta_cost) in order, gives (index, with_code, with_signature, used)."""
+    """The same fill for one task on the driver; items (tier, code_cost, meta_cost[, bare_cost]) in order, gives (index, with_code, with_signature, used). For tests."""
     used, cut = 0, False
-    for i, (tier, code, meta) in enumerate(items):
+    for i, (tier, code, meta, *bare) in enumerate(items):
         if tier != "primary" and used >= budget:
             cut = True
             continue
         wants = tier != "hop2plus"
         fits = wants and code is not None and used < budget and used + code <= budget
-        cut = cut or (wants and not fits and code is not None)
-        used += (code if fits else 0) + meta
-        yield i, fits, tier == "primary" or not cut, used
+        cut = cut or (wants and not fits)
+        signed = tier == "primary" or not cut
+        used += (code if fits else 0) + (meta if signed or not bare else bare[0])
+        yield i, fits, signed, used
 
 
 def not_shown(items: DataFrame, shown: DataFrame) -> DataFrame:
