@@ -157,3 +157,8 @@ def context_weight(kind: Column, path: Column) -> Column:
     k = F.when(kind.isin("method", "function"), 1.0).when(kind == "class", 0.95).when(kind == "test", 0.6).when(kind == "suite", 0.55).when(kind == "hook", 0.5).when(kind == "file", 0.2).otherwise(0.8)
     e = F.coalesce(extension(path), F.lit(""))
     return k * F.when(e.isin(PRESENTATION), 0.25).when((e != "") & is_generic(e), 0.6).otherwise(1.0)
+
+
+def indexed_parts(code: Column, doc: Column) -> Column:
+    """What is indexed beside the code: the sub-words of its compound names, then the words of its comment."""
+    return F.concat_ws(" ", F.nullif(identifier_parts(F.coalesce(code, F.lit(""))), F.lit("")), F.nullif(comment_words(doc), F.lit("")))

@@ -74,3 +74,31 @@ def fan_counts(model: DataFrame) -> DataFrame:
     """(id, fan_in, fan_out, raw_in, raw_out) of symbols with an edge."""
     ends = model.select(F.explode(F.array(F.struct(F.col("dst").alias("id"), F.col("strength").alias("i"), F.lit(0.0).alias("o"), F.lit(1).alias("ri"), F.lit(0).alias("ro")), F.struct(F.col("src").alias("id"), F.lit(0.0).alias("i"), F.col("strength").alias("o"), F.lit(0).alias("ri"), F.lit(1).alias("ro")))).alias("x")).select("x.*")
     return ends.groupBy("id").agg(F.round(F.sum("i"), 6).alias("fan_in"), F.round(F.sum("o"), 6).alias("fan_out"), F.sum("ri").alias("raw_in"), F.sum("ro").alias("raw_out"))
+
+
+def bind_literals(literals: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(symbol_id, file_id, key, store, action, line): storage literals (file_id, scope, key, store, action, line) bound to the last symbol of that name in their file; others are dropped."""
+    last = symbols.where("name is not null").groupBy("file_id", F.col("name").alias("scope")).agg(F.max_by("id", F.struct(F.coalesce("start_byte", F.lit(-1)), "id")).alias("symbol_id"))
+    return literals.join(last, ["file_id", "scope"]).select("symbol_id", "file_id", "key", "store", "action", "line")
+
+
+def precise_edges(resolved: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(src_symbol_id, dst_symbol_id, dst_name, kind, resolution) of what a language server resolved.
+
+    resolved: (file_id, caller_name, callee_name, target_path, target_line), paths relative as in files (see relative_path). The caller is the first symbol of that name in its
+    file, the target the first symbol of the target file whose lines hold the line; rows that lack either, or a known file, are dropped.
+    """
+    first = symbols.where("name is not null").groupBy("file_id", F.col("name").alias("caller_name")).agg(F.min("id").alias("src_symbol_id"))
+    at = files.select(F.col("path").alias("target_path"), F.col("id").alias("t_file"))
+    r = resolved.join(first, ["file_id", "caller_name"]).join(at, "target_path").select("src_symbol_id", F.col("callee_name").alias("dst_name"), "t_file", "target_line")
+    places = r.select("t_file", "target_line").distinct()
+    s = symbols.select(F.col("file_id").alias("t_file"), "id", "start_line", "end_line")
+    hit = places.join(s, "t_file").where("start_line <= target_line and end_line >= target_line").groupBy("t_file", "target_line").agg(F.min("id").alias("dst_symbol_id"))
+    return r.join(hit, ["t_file", "target_line"]).select("src_symbol_id", "dst_symbol_id", "dst_name", F.lit("calls").alias("kind"), F.lit("lsp").alias("resolution"))
+
+
+def relative_path(uri, root):
+    """The path of a file: URI below root, with forward slashes; null outside it and for anything else. Both are columns."""
+    base = F.concat(F.regexp_replace(F.replace(root, F.lit("\\"), F.lit("/")), "/+$", ""), F.lit("/"))
+    full = F.url_decode(F.replace(F.regexp_replace(uri, "^file://(?:localhost)?", ""), F.lit("+"), F.lit("%2B")))
+    return F.when(uri.startswith("file://") & full.startswith(base) & ~full.contains("/../"), F.substring(full, F.length(base) + 1, F.length(full)))

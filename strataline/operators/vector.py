@@ -65,3 +65,22 @@ def hashed(docs: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
     cells = t.select(key, F.explode_outer("w").alias("w")).select(key, F.pmod(F.xxhash64("w"), F.lit(dim)).alias("c"), F.when(F.col("w").isNull(), 0.0).when(F.xxhash64("w", F.lit(1)) % 2 == 0, 1.0).otherwise(-1.0).alias("s"))
     sums = cells.groupBy(key, "c").agg(F.sum("s").alias("s")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("c", F.lit(0)), "s"))).alias("m"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
     return sums.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i.cast("long")], F.lit(0.0)) / F.greatest(F.col("norm"), F.lit(1e-12))).alias("embedding"))
+
+
+WARN_ROWS = 150_000  # fixed value: from here on a store asks for attention
+
+
+def put(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(vec_id, embedding): stored with fresh vectors added or put in the place of those with their ids; of repeated fresh ids the greatest vector stays."""
+    new = fresh.groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
+    return stored.select("vec_id", "embedding").join(new.select("vec_id"), "vec_id", "left_anti").unionByName(new)
+
+
+def without(stored: DataFrame, gone: DataFrame) -> DataFrame:
+    """stored less the ids of gone (vec_id); unknown ids make no difference."""
+    return stored.join(gone.select("vec_id").distinct(), "vec_id", "left_anti")
+
+
+def size_warning(n: int, most: int = WARN_ROWS) -> str | None:
+    """A sentence if more vectors are stored than every question should be compared with one by one."""
+    return f"{n} vectors, more than {most}: exact search reads all of them for every batch of questions" if n > most else None

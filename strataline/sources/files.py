@@ -133,7 +133,7 @@ def settings(home: str | None, repo: str | None) -> dict:
     return out
 
 
-SYMBOLS = "repo_id string, path string, name string, kind string, start_line int, end_line int, start_byte int, end_byte int, signature string, code string, summary string, calls array<string>, imports array<string>"
+SYMBOLS = "repo_id string, path string, name string, kind string, start_line int, end_line int, start_byte int, end_byte int, signature string, code string, summary string, calls array<string>, imports array<string>, call_lines array<int>, literals array<struct<key:string,store:string,action:string,scope:string,line:int>>"
 _TEST = re.compile(r"^[ \t]*(it|test|describe|context|suite|before|after|beforeEach|afterEach|beforeAll|afterAll)\s*(?:\.\w+)?\(\s*(?:(['\"`])(.*?)\2\s*,\s*)?(?:async\s*)?(?:function\b|\()", re.M)
 _CLASS = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:public\s+|private\s+|protected\s+|internal\s+|abstract\s+|final\s+|static\s+|sealed\s+|partial\s+)*(?:class|interface)\s+(\w+)", re.M)
 _FUNC = re.compile(
@@ -144,6 +144,9 @@ _FUNC = re.compile(
 )
 _IMPORT = re.compile(r"^[ \t]*(?:import\s+(?:[^'\";]*?from\s+)?['\"]([^'\"]+)['\"]|import\s+(?:static\s+)?([\w.*]+)\s*;|using\s+([\w.]+)\s*;|use\s+([\w\\]+)|(?:const|let|var)\s+[^=\n]+=\s*require\(['\"]([^'\"]+)['\"]\))", re.M)
 _CALL = re.compile(r"(?<![\w$])(?:new\s+)?(?:[\w$]+(?:\.|->|::|\?\.))*([A-Za-z_$][\w$]*)\s*\(")
+_STORAGE = re.compile(r"(?<![\w$.])(?:window\.|self\.|globalThis\.)?(localStorage|sessionStorage)\s*(?:\?\.|\.)\s*(getItem|setItem|removeItem)\s*\(\s*(?:'((?:[^'\\\n]|\\.)*)'|\"((?:[^\"\\\n]|\\.)*)\"|`([^`$\\]*)`)")
+# What a storage call does.
+ACTIONS = {"getItem": "read", "setItem": "write", "removeItem": "remove"}
 _WORD = set("if for while switch catch return function new else do try throw await typeof foreach using lock def class with and or not in is lambda yield assert print elif except sizeof instanceof super this".split())
 _STRIP = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|//[^\n]*|/\*.*?\*/", re.S)
 _COMMENT = re.compile(r"((?:[ \t]*(?://[^\n]*|\*[^\n]*|/\*[^\n]*)\n){1,40})$")
@@ -178,11 +181,11 @@ def parse(path: str, text: str) -> Iterator[dict]:
     for x in lines:
         starts.append(starts[-1] + len(x) + 1)
 
-    def row(name: str, kind: str, a: int, b: int, doc: str = "", calls=(), imports=()) -> dict:
+    def row(name: str, kind: str, a: int, b: int, doc: str = "", calls=(), imports=(), literals=()) -> dict:
         body = text[a:b]
         return {
             "path": path, "name": name, "kind": kind, "start_line": text.count("\n", 0, a) + 1, "end_line": text.count("\n", 0, max(a, b - 1)) + 1, "start_byte": len(text[:a].encode()), "end_byte": len(text[:b].encode()),
-            "signature": body[:MAX_SIGNATURE].split("\n")[0].strip(), "code": body[:MAX_CODE], "summary": doc[:MAX_DOC] or None, "calls": list(calls), "imports": list(imports),
+            "signature": body[:MAX_SIGNATURE].split("\n")[0].strip(), "code": body[:MAX_CODE], "summary": doc[:MAX_DOC] or None, "calls": [c for c, _ in calls], "imports": list(imports), "call_lines": [n for _, n in calls], "literals": list(literals),
         }
 
     if ext in (".py", ".pyw"):
@@ -210,8 +213,8 @@ def parse(path: str, text: str) -> Iterator[dict]:
                                 stack.append(k)
                                 if isinstance(k, ast.Call):
                                     f = k.func
-                                    inner.append(f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else "")
-                        yield row(c.name, kind, a, b, clean_doc(ast.get_docstring(c) or ""), [x for x in inner if x])
+                                    inner.append((f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else "", k.lineno))
+                        yield row(c.name, kind, a, b, clean_doc(ast.get_docstring(c) or ""), [x for x in inner if x[0]])
                         todo.append((c, c))
                     else:
                         todo.append((c, owner))
@@ -243,12 +246,16 @@ def parse(path: str, text: str) -> Iterator[dict]:
             word = m.group(1)
             kind = "test" if word in ("it", "test") else "suite" if word in ("describe", "context", "suite") else "hook"
             found.append((m.start(), _close(blank, m.end() - 1), m.group(3) or word, kind))
-    yield row(os.path.basename(path), "file", 0, len(text), imports=[next(g for g in m if g) for m in _IMPORT.findall(text) if any(m)])
     scopes = sorted((f for f in found if f[3] != "class"), key=lambda f: f[1] - f[0])
-    calls: dict[tuple, list[str]] = {}
+    stored = []
+    for m in _STORAGE.finditer(text):  # a literal without an enclosing scope has nothing to belong to
+        if blank[m.start(1)] != " " and (own := next((f for f in scopes if f[0] < m.start() < f[1]), None)):
+            stored.append({"key": next(g for g in m.groups()[2:] if g is not None), "store": m.group(1), "action": ACTIONS[m.group(2)], "scope": own[2], "line": text.count("\n", 0, m.start()) + 1})
+    yield row(os.path.basename(path), "file", 0, len(text), imports=[next(g for g in m if g) for m in _IMPORT.findall(text) if any(m)], literals=stored)
+    calls: dict[tuple, list[tuple[str, int]]] = {}
     for m in _CALL.finditer(blank):
         if m.group(1) not in _WORD and (own := next((f for f in scopes if f[0] < m.start() < f[1] and not (m.group(1) == f[2] and m.start() - f[0] < 200 and "{" not in blank[f[0] : m.start()])), None)):
-            calls.setdefault(own, []).append(m.group(1))
+            calls.setdefault(own, []).append((m.group(1), text.count("\n", 0, m.start(1)) + 1))
     for f in sorted(found):
         a = f[0] + len(text[f[0] :]) - len(text[f[0] :].lstrip())
         doc = _COMMENT.search(text, 0, text.rfind("\n", 0, a) + 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMAS = {
     "files": "id long, path string, hash string, mtime double, ext string, is_test boolean, repo_id string",
@@ -31,3 +32,34 @@ def unique(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     key = {"chunks": "symbol_id", "documents": "doc_id"}.get(name, "id")
     cols = [key, *[c for c in columns if c != key]] if columns else df.columns
     return df.select(*cols).dropDuplicates([key])
+
+
+#: The shape of what a build stores; a store of another number is rebuilt once.
+CONTENT_VERSION = 3
+
+
+def conform(df: DataFrame, name: str) -> DataFrame:
+    """df in the current schema of a table: columns it lacks are added as null, is_test and parts worked out where they are missing or null, types cast, others dropped."""
+    from strataline.functions.text import indexed_parts, is_test_file
+
+    fields = [f.strip().split(" ") for f in SCHEMAS[name].split(",")]
+    have = set(df.columns)
+    out = []
+    for column, kind in fields:
+        c = F.col(column).cast(kind) if column in have else F.lit(None).cast(kind)
+        if name == "files" and column == "is_test" and "path" in have:
+            c = F.coalesce(c, is_test_file(F.col("path")))
+        if name == "chunks" and column == "parts" and "code" in have:
+            c = F.coalesce(c, indexed_parts(F.col("code"), F.col("summary") if "summary" in have else F.lit(None).cast("string")))
+        out.append(c.alias(column))
+    return df.select(*out)
+
+
+def exists(df: DataFrame) -> bool:
+    """Whether there is any row; reads no more than it takes to find one."""
+    return not df.isEmpty()
+
+
+def newest(candidates: DataFrame, key: str, value: str, built_at: str) -> DataFrame:
+    """(key, value): of several candidates of a key the one built last, ties to the greatest value; unknown times lose."""
+    return candidates.groupBy(key).agg(F.max_by(value, F.struct(F.coalesce(F.col(built_at), F.lit("1970-01-01").cast("timestamp")), value)).alias(value))
