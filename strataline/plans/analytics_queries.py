@@ -99,23 +99,21 @@ def nested_containers(spark, d):
 
 
 def symbol_slices(spark, d):
-    """The lines of each symbol read from its file's text."""
+    """The lines of each symbol read from its file's text; null where the symbol ends beyond the text that is stored of the file."""
     s = unique(spark, d, "symbols", "file_id", "kind", "start_line", "end_line")
     whole = s.where("kind = 'file'").select("file_id", F.col("id").alias("symbol_id")).join(unique(spark, d, "chunks", "code"), "symbol_id").select("file_id", F.col("code").alias("text"))
-    j = s.where("kind = 'class'").join(whole, "file_id")
+    j = s.join(whole, "file_id").withColumn("text", F.when((F.length("text") < 20_000) | (F.size(F.split("text", "\n")) > F.col("end_line")), F.col("text")))
     return A.read_lines(j.select("id", "text", F.col("start_line").alias("start"), F.col("end_line").alias("end"))).select("id", F.length("slice").cast("long").alias("n"), F.md5("slice").alias("md5"))
 
 
 def context_bundles(spark, d):
-    """Each class as a task: itself, its members and their callees, filled into the budget."""
-    e, s, _, _ = _m(spark, d)
-    c = unique(spark, d, "chunks", "code").select(F.col("symbol_id").alias("item_id"), F.length("code").cast("long").alias("code_cost"))
-    tasks = s.where("kind = 'class'").select(F.col("id").alias("task_id"), F.col("id").alias("item_id"), F.lit("primary").alias("tier"), F.lit(0).cast("long").alias("pos"))
-    mem = R.class_members(s).select(F.col("class_id").alias("task_id"), F.col("member_id").alias("item_id"), F.lit("hop1").alias("tier"), F.col("pos").cast("long").alias("pos"))
-    out = e.where("kind = 'calls' and dst_symbol_id is not null").select(F.col("src_symbol_id").alias("item_id"), "dst_symbol_id")
-    far = mem.join(out, "item_id").groupBy("task_id", F.col("dst_symbol_id").alias("item_id")).agg(F.min("pos").alias("pos")).join(mem.select("task_id", "item_id"), ["task_id", "item_id"], "left_anti").select("task_id", "item_id", F.lit("hop2plus").alias("tier"), "pos")
-    items = tasks.unionByName(mem).unionByName(far).join(c, "item_id", "left").withColumn("meta_cost", F.lit(200).cast("long"))
-    return A.bundle(items).withColumn("place", F.col("place").cast("long"))
+    """Each class as the one hit of its task: itself, its members, what they call and who calls them, filled into the budget."""
+    from strataline.operators import context as C
+
+    e, s, f, _ = _m(spark, d)
+    hits = s.where("kind = 'class'").select(F.col("id").alias("task_id"), F.col("id").alias("symbol_id"), F.lit(1.0).alias("score"), F.lit(1).alias("place"))
+    items, _ = C.assemble(hits, s, f, unique(spark, d, "chunks", "code"), e, unique(spark, d, "string_literals"))
+    return items.select("task_id", F.col("place").cast("long").alias("place"), "tier", "symbol_id", (F.col("code").isNotNull()).alias("with_code"), F.col("signature").isNotNull().alias("with_signature"), "relation", "via")
 
 
 def manifest_diff(spark, d):
@@ -174,9 +172,10 @@ SQL = {
     "rolled_counts": f"WITH {_MODEL}, own AS (SELECT id c, id node FROM s WHERE kind = 'class' UNION SELECT c.id, m.id FROM s c JOIN s m ON m.file_id = c.file_id AND m.id <> c.id AND m.kind IN {MEMBER} AND m.start_byte >= c.start_byte AND m.end_byte <= c.end_byte WHERE c.kind = 'class'), x AS (SELECT c, m.src o, 1 i FROM own JOIN m ON m.dst = node UNION SELECT c, m.dst, 0 FROM own JOIN m ON m.src = node), y AS (SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.c = x.c AND own.node = x.o)) SELECT s.id AS class_id, count(*) FILTER (i = 1) AS callers, count(*) FILTER (i = 0) AS calls FROM s LEFT JOIN y ON y.c = s.id WHERE s.kind = 'class' GROUP BY s.id",
     "directory_weights": f"WITH p AS (SELECT repo_id, string_split({_CLEAN}, '/') q, n FROM {U_FILES} f JOIN (SELECT file_id, count(*) n FROM {U_SYM} GROUP BY 1) c ON c.file_id = f.id), x AS (SELECT repo_id, n, q, unnest(range(0, len(q))) i FROM p) SELECT repo_id, CASE WHEN i > 0 THEN array_to_string(q[1:i], '/') ELSE '' END AS dir, sum(n)::BIGINT AS n_symbols FROM x GROUP BY ALL",
     "line_percentiles": f"WITH l AS (SELECT kind, greatest(1, end_line - start_line + 1)::BIGINT v, row_number() OVER (PARTITION BY kind ORDER BY greatest(1, end_line - start_line + 1)) r, count(*) OVER (PARTITION BY kind) n FROM {U_SYM} WHERE end_line IS NOT NULL AND start_line IS NOT NULL) SELECT kind, v AS p98 FROM l WHERE r = floor(0.98 * (n - 1)) + 1",
-    "viewer_search": f"""WITH {_FANS}, q AS (SELECT id query_id, lower(left(name, 6)) q FROM s WHERE id % 100 = 0 AND name IS NOT NULL AND left(name, 6) NOT LIKE '% %' AND name <> ''),
+    "viewer_search": f"""WITH {_FANS}, qw AS (SELECT id query_id, unnest(string_split_regex(lower(name), '\\s+')) q FROM s WHERE id % 100 = 0 AND name IS NOT NULL), q AS (SELECT query_id, q, count(*) times FROM qw WHERE q <> '' GROUP BY ALL), nq AS (SELECT query_id, count(*) nw FROM q GROUP BY 1),
 w AS (SELECT s.id, lower(s.name) n, length(s.name) len, lower(f.path) p, string_split_regex(lower(regexp_replace(regexp_replace(s.name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9]+') ws FROM s LEFT JOIN {U_FILES} f ON f.id = s.file_id),
-j AS (SELECT query_id, w.id, len, CASE WHEN n = q THEN 100 WHEN starts_with(n, q) THEN 80 WHEN len(list_filter(ws, lambda z: starts_with(z, q))) > 0 THEN 60 WHEN contains(n, q) THEN 40 WHEN contains(p, q) THEN 15 ELSE 0 END sc FROM q, w), k AS (SELECT j.*, round(sc + ln(1 + coalesce(fan_in, 0)), 6) score FROM j LEFT JOIN fans ON fans.id = j.id WHERE sc > 0)
+u AS (SELECT DISTINCT q FROM q), j AS (SELECT q, w.id, len, CASE WHEN n = q THEN 100 WHEN starts_with(n, q) THEN 80 WHEN len(list_filter(ws, lambda z: starts_with(z, q))) > 0 THEN 60 WHEN contains(n, q) THEN 40 WHEN contains(p, q) THEN 15 ELSE 0 END sc FROM u, w),
+a AS (SELECT query_id, id, len, sum(sc * times) sc FROM q JOIN j USING (q) JOIN nq USING (query_id) WHERE sc > 0 GROUP BY query_id, id, len, nw HAVING count(*) = nw), k AS (SELECT a.*, round(sc + ln(1 + coalesce(fan_in, 0)), 6) score FROM a LEFT JOIN fans ON fans.id = a.id)
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, len, id) AS rank FROM k QUALIFY rank <= 30""",
     "occurrence_keys": _KEYS.format(s=U_SYM, f=U_FILES),
     "version_diff": f"WITH c AS ({_KEYS.format(s=U_SYM, f=U_FILES)}), p AS ({_KEYS.format(s='(SELECT * FROM ' + U_SYM + ' WHERE file_id % 10 <> 0)', f=U_FILES)}) SELECT c.repo_id, c.path, c.kind, c.name, c.nth, 'added' AS change FROM c ANTI JOIN p ON c.repo_id = p.repo_id AND c.path = p.path AND c.kind = p.kind AND c.name = p.name AND c.nth = p.nth UNION ALL SELECT p.repo_id, p.path, p.kind, p.name, p.nth, 'removed' FROM p ANTI JOIN c ON c.repo_id = p.repo_id AND c.path = p.path AND c.kind = p.kind AND c.name = p.name AND c.nth = p.nth",
@@ -186,7 +185,7 @@ SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY sc
     "treemap_areas": f"WITH p AS (SELECT DISTINCT repo_id, string_split({_CLEAN}, '/')[1] d FROM {U_FILES} f WHERE contains({_CLEAN}, '/') AND EXISTS (SELECT 1 FROM symbols s WHERE s.file_id = f.id)) SELECT repo_id AS parent, 10000.0::DOUBLE AS area, count(*) AS n FROM p GROUP BY 1",
     "galaxy": f"WITH r AS (SELECT id, row_number() OVER (PARTITION BY repo_id ORDER BY id) - 1 k FROM {U_FILES}) SELECT id, round(10.0 * sqrt(k) * cos(k * (pi() * (3 - sqrt(5)))), 6) AS x, round(10.0 * sqrt(k) * sin(k * (pi() * (3 - sqrt(5)))), 6) AS y FROM r",
     "nested_containers": f"SELECT m.id AS symbol_id, c.id AS class_id, m.file_id, f.path, CASE WHEN c.id IS NULL THEN 1 ELSE 2 END AS depth FROM {U_SYM} m LEFT JOIN {U_SYM} c ON c.kind = 'class' AND m.file_id = c.file_id AND m.start_byte >= c.start_byte AND m.end_byte <= c.end_byte LEFT JOIN {U_FILES} f ON f.id = m.file_id WHERE m.kind IN {MEMBER} QUALIFY row_number() OVER (PARTITION BY m.id ORDER BY c.end_byte - c.start_byte, c.id) = 1",
-    "symbol_slices": f"WITH w AS (SELECT s.file_id, c.code FROM {U_SYM} s JOIN {U_CHUNKS} c ON c.symbol_id = s.id WHERE s.kind = 'file'), x AS (SELECT s.id, CASE WHEN s.end_line >= greatest(s.start_line, 1) THEN array_to_string(string_split(w.code, chr(10))[greatest(s.start_line, 1):s.end_line], chr(10)) END t FROM {U_SYM} s JOIN w USING (file_id) WHERE s.kind = 'class') SELECT id, length(t) AS n, md5(t) AS md5 FROM x",
+    "symbol_slices": f"WITH w AS (SELECT s.file_id, c.code FROM {U_SYM} s JOIN {U_CHUNKS} c ON c.symbol_id = s.id WHERE s.kind = 'file'), x AS (SELECT s.id, CASE WHEN s.end_line >= greatest(s.start_line, 1) AND (length(w.code) < 20000 OR len(string_split(w.code, chr(10))) > s.end_line) THEN array_to_string(string_split(w.code, chr(10))[greatest(s.start_line, 1):s.end_line], chr(10)) END t FROM {U_SYM} s JOIN w USING (file_id)) SELECT id, length(t) AS n, md5(t) AS md5 FROM x",
     "manifest_diff": f"WITH {_MDIFF} SELECT repo_id, path, status FROM dm",
     "manifest_stats": f"WITH {_MDIFF} SELECT repo_id, count(*) FILTER (status <> 'deleted') AS n_total, count(*) FILTER (status = 'changed') AS n_changed, count(*) FILTER (status = 'added') AS n_added, count(*) FILTER (status = 'unchanged') AS n_unchanged, count(*) FILTER (status = 'deleted') AS n_deleted FROM dm GROUP BY repo_id",
     "kept_versions": "SELECT repo_id, version_id, row_number() OVER (PARTITION BY repo_id ORDER BY version_id DESC) <= 2 AS kept FROM (SELECT DISTINCT repo_id, version_id FROM manifest)",

@@ -85,7 +85,7 @@ SQL = {
     "closed_neighborhood": f"WITH {_MODEL}, b AS (SELECT src a, dst b FROM m UNION SELECT dst, src FROM m), l0 AS (SELECT id root, id node FROM s WHERE id % 100 = 0), l1 AS (SELECT DISTINCT root, b.b node FROM l0 JOIN b ON b.a = node EXCEPT SELECT * FROM l0), l2 AS ((SELECT DISTINCT root, b.b node FROM l1 JOIN b ON b.a = node EXCEPT SELECT * FROM l0) EXCEPT SELECT * FROM l1) SELECT root, node, 0 AS hop FROM l0 UNION ALL SELECT root, node, 1 FROM l1 UNION ALL SELECT root, node, 2 FROM l2",
     "highlighted_nodes": f"WITH {_HE}, c AS (SELECT m.id, c.id c FROM s m JOIN s c ON c.kind = 'class' AND m.file_id = c.file_id AND m.start_byte >= c.start_byte AND m.end_byte <= c.end_byte WHERE m.kind IN {MEMBER} QUALIFY row_number() OVER (PARTITION BY m.id ORDER BY c.end_byte - c.start_byte, c.id) = 1) SELECT id FROM h UNION SELECT c FROM c WHERE id IN (SELECT id FROM h) UNION SELECT src FROM he UNION SELECT dst FROM he",
     "highlighted_edges": f"WITH {_HE} SELECT src, dst FROM he",
-    "lookup": f"WITH s AS (SELECT s.id, s.name, lower(concat_ws(chr(10), s.name, s.kind, f.path)) t FROM {U_SYM} s LEFT JOIN {U_FILES} f ON f.id = s.file_id), q AS (SELECT id query_id, lower(left(name, 5)) q FROM s WHERE id % 100 = 0 AND name IS NOT NULL AND name <> '') SELECT query_id, id FROM q JOIN s ON contains(t, q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 30",
+    "lookup": f"WITH s AS (SELECT s.id, s.name, lower(concat_ws(chr(10), s.name, s.kind, f.path)) t FROM {U_SYM} s LEFT JOIN {U_FILES} f ON f.id = s.file_id), q AS (SELECT id query_id, lower(name) q FROM s WHERE id % 100 = 0 AND name IS NOT NULL AND name <> '') SELECT query_id, id FROM q JOIN s ON contains(t, q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 30",
     "inspector": f"WITH {_FANS}, l AS (SELECT src id, 'out' direction, dst other, strength FROM m UNION ALL SELECT dst, 'in', src, strength FROM m) SELECT l.id, direction, other, round(strength, 6) AS strength, row_number() OVER (PARTITION BY l.id, direction ORDER BY strength DESC, coalesce(fan_in, 0) DESC, other) AS place FROM l LEFT JOIN fans ON fans.id = other QUALIFY place <= 40",
     "cross_file_edges": f"WITH {_MODEL} SELECT src, dst, a.file_id AS src_file, b.file_id AS dst_file FROM m JOIN s a ON a.id = src JOIN s b ON b.id = dst WHERE a.file_id <> b.file_id",
     "repositories": "WITH s AS (SELECT DISTINCT repo_id, version_id, regexp_replace(regexp_replace(replace(path, '\\', '/'), '/+', '/', 'g'), '^(\\./)+', '') p FROM manifest), c AS (SELECT repo_id, version_id, count(*) n FROM s GROUP BY ALL) SELECT repo_id, count(*) AS n_versions, max(version_id) AS newest, max_by(n, version_id) AS n_files FROM c GROUP BY repo_id",
