@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from strataline.session import materialize
 
-SLOTS = 20_000  # blocks of the whole mixture; the schedule has so many rows whatever the size of the corpus
+SLOTS, MOST_SLOTS, BLOCK = 20_000, 2_000_000, 100_000  # blocks of the whole mixture: one for BLOCK tokens, within these bounds, as ranks are taken of each source's slots
 MAX_SOURCES = 10_000
 GOLDEN = (math.sqrt(5) - 1) / 2
 
@@ -43,7 +43,7 @@ def key_of(source):
     return F.lower(F.trim(source))
 
 
-def mixture(tokens: DataFrame, targets: DataFrame, slots: int = SLOTS, bucket_rows: int = 20_000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mixture(tokens: DataFrame, targets: DataFrame, slots: int | None = None, bucket_rows: int = 20_000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(records, report).
 
     tokens: (doc_id, source, n_tokens), a row a record. targets: (source, target_share, max_repeats); rows with null source or share count for
@@ -69,6 +69,7 @@ def mixture(tokens: DataFrame, targets: DataFrame, slots: int = SLOTS, bucket_ro
     # one row a source and bucket: a few numbers for every bucket_rows records
     sums = use.groupBy("source", "bucket").agg(F.sum("n").alias("s"))
     base = sums.withColumn("base", F.coalesce(F.sum("s").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    slots = slots or min(MOST_SLOTS, max(SLOTS, total // BLOCK))
     sizes = {r.source: r.s for r in sums.groupBy("source").agg(F.sum("s").alias("s")).collect()}
     goal = fill(sizes, targets_of, repeats_of, total)
     drawn = sum(goal.values())
@@ -85,7 +86,7 @@ def mixture(tokens: DataFrame, targets: DataFrame, slots: int = SLOTS, bucket_ro
         x = F.col("slot").cast("double") * GOLDEN
         point = spark.range(n_slots).select(F.col("id").alias("slot")).withColumn("x", x - F.floor(x))
         point = point.select("slot", F.element_at(F.filter(F.array(*bounds), lambda b: F.col("x") < b["hi"]), 1)["source"].alias("source"))
-        point = point.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1)  # n_slots rows in all, whatever the corpus
+        point = point.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1)  # MOST_SLOTS rows at most
         # the points hit each source to within a slot or two; what a source still lacks comes at the end
         due = plan_df.select("source", "n_blocks", F.explode(F.sequence(F.lit(0), (F.col("n_slots") - 1).cast("int"))).alias("r"))
         sched = due.join(point, ["source", "r"], "left").select(
