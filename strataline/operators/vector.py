@@ -14,31 +14,40 @@ from strataline.operators.lexical import tokens
 MAX_QUERY_MB = 64
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, weights: DataFrame | None = None, block: int = 2_000) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, weights: DataFrame | None = None, block: int = 2_000, max_query_mb: int = MAX_QUERY_MB) -> DataFrame:
     """(query_id, vec_id, score, rank): the k most similar vectors of each question by dot product, ties by vec_id; k <= 0 gives none.
 
-    vectors: (vec_id, embedding), queries: (query_id, embedding). The questions, checked to stay under MAX_QUERY_MB, go to all workers; each Arrow batch is one
-    matrix product per block of questions and keeps its own k best, so that k rows a question and batch are shuffled. weights: (vec_id, weight) multiply positive
-    scores. Null vectors and vectors of another length are left out.
+    vectors: (vec_id, embedding), queries: (query_id, embedding). The questions go to all workers in portions of some MAX_QUERY_MB, each against all vectors; each Arrow batch
+    is one matrix product per block of questions and keeps its own k best, so that k rows a question and batch are shuffled. weights: (vec_id, weight) multiply positive
+    scores. Null vectors are left out, and a question meets the vectors of its own length.
     """
     spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score double"
     if k <= 0:
         return spark.createDataFrame([], schema + ", rank int")
     q = queries.where("embedding is not null").select("query_id", "embedding")
-    size = q.agg(F.sum(F.size("embedding") * 8)).head()[0] or 0
-    if size > MAX_QUERY_MB << 20:
-        raise ValueError("split the questions: they don't fit the workers")
-    rows = q.orderBy("query_id").collect()
-    dim = len(rows[0].embedding) if rows else 0
-    rows = [r for r in rows if len(r.embedding) == dim]
-    ids = np.array([r.query_id for r in rows], dtype=np.int64)
-    mat = np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), dim)
-    v = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") == dim)).select("vec_id", "embedding")
+    v = vectors.where("embedding is not null").select("vec_id", "embedding")
     if weights is not None:
         v = v.join(weights.select("vec_id", "weight"), "vec_id", "left").select("vec_id", "embedding", F.coalesce("weight", F.lit(1.0)).alias("weight"))
     else:
         v = v.withColumn("weight", F.lit(1.0))
+    part = None
+    for r in q.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect():  # a row for each length of question
+        portions = -(-r.n * r.dim * 8 // (max_query_mb << 20)) if r.dim else 0
+        for p in range(portions):
+            own = q.where((F.size("embedding") == r.dim) & (F.pmod(F.xxhash64("query_id"), F.lit(portions)) == p))
+            scored = _scored(v.where(F.size("embedding") == r.dim), own.orderBy("query_id").collect(), r.dim, k, block, schema)
+            part = scored if part is None else part.unionByName(scored)
+    if part is None:
+        return spark.createDataFrame([], schema + ", rank int")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _scored(v: DataFrame, rows: list, dim: int, k: int, block: int, schema: str) -> DataFrame:
+    """Each batch's k best vectors of each question, ties at the edge included."""
+    ids = np.array([r.query_id for r in rows], dtype=np.int64)
+    mat = np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), dim)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
@@ -54,9 +63,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, weights: DataFram
                 qi, vi = np.nonzero(s >= edge)
                 yield pd.DataFrame({"query_id": ids[a + qi], "vec_id": own[vi], "score": s[qi, vi]})
 
-    part = v.mapInPandas(run, schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return v.mapInPandas(run, schema)
 
 
 def hashed(docs: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:

@@ -62,3 +62,13 @@ def test_vector_store_and_tables(spark):
     assert exists(old) and not exists(old.limit(0))
     cand = spark.createDataFrame([("r", "a", "2024-01-01"), ("r", "b", "2024-02-01"), ("r", "z", None)], "repo string, dir string, t string").withColumn("t", F.col("t").cast("timestamp"))
     assert [tuple(r) for r in newest(cand, "repo", "dir", "t").collect()] == [("r", "b")]
+
+
+def test_questions_go_in_portions_and_by_length(spark):
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)] + [(99, [1.0, 2.0, 3.0]), (98, None)], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0, 1.0]), (4, None), (5, [1.0] * 7)], "query_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in vector.top_k(v, q, 2).collect())
+    assert got == [(1, 1, 49), (1, 2, 48), (2, 1, 0), (2, 2, 1), (3, 1, 99)]
+    big = spark.createDataFrame([(i, [float(i % 7)] * 20_000) for i in range(20)], "query_id long, embedding array<double>")
+    long = spark.createDataFrame([(i, [float(i)] * 20_000) for i in range(3)], "vec_id long, embedding array<double>")
+    assert vector.top_k(long, big, 1, max_query_mb=1).where("query_id % 7 != 0 and vec_id = 2").count() == 17
