@@ -1,5 +1,8 @@
+import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from strataline.functions import text as T
@@ -234,3 +237,30 @@ def test_viewer_search_needs_every_word(spark):
     q = spark.createDataFrame([(1, "Token  cache"), (2, "load"), (3, "load load"), (4, "token nowhere"), (5, " ")], "query_id long, q string")
     got = {(r.query_id, r.id): r.score for r in A.viewer_search(q, s, f, fans).collect()}
     assert got == {(1, 1): 75.0, (1, 2): 115.0, (2, 1): 80.0, (2, 3): 80.0, (2, 4): 100.0, (3, 1): 160.0, (3, 3): 160.0, (3, 4): 200.0}
+
+
+def test_bm25_counts_repeats_once_in_any_portion(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "alpha beta alpha"), (1, "alpha beta alpha"), (2, "alphabet"), (3, "gamma"), (4, None)], "id long, t string")
+    q = spark.createDataFrame([(1, "alpha"), (1, "alpha"), (2, "alpha"), (3, "gamma beta"), (4, "alpha alpha")], "query_id long, text string")
+    want = None
+    for groups in (lexical.MAX_GROUPS, 1):
+        monkeypatch.setattr(lexical, "MAX_GROUPS", groups)
+        got = {(r.query_id, r.doc): r.score for r in lexical.bm25(q, docs, "id", ["t"]).collect()}
+        assert set(got) == {(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 3), (4, 1), (4, 2)} and got[1, 1] == got[2, 1]
+        assert want in (None, got)
+        want = got
+    # as the token: in 1 of 4 documents, as its beginning: in 2; 5 tokens in all
+    idf = [max(math.log((4 - n + 0.5) / (n + 0.5)), 1e-6) for n in (1, 2)]
+    assert abs(got[1, 1] - sum(idf) * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / 1.25))) < 2e-6 and abs(got[4, 1] - 2 * got[1, 1]) < 2e-6
+
+
+def test_bm25_keeps_a_bounded_list_of_a_common_word():
+    from strataline.operators.scoring import Scorer
+
+    n = 3000
+    rows = [pa.RecordBatch.from_pydict({"doc": pa.array(range(a, a + 1000), pa.int64()), "dl": pa.array([5] * 1000, pa.int64()), "vs": pa.array([[0, 1]] * 1000, pa.list_(pa.int32())), "tf": pa.array([[1 + i % 3, 1] for i in range(1000)], pa.list_(pa.int32()))}) for a in range(0, n, 1000)]
+    for and_only in (True, False):
+        s = Scorer([[0], [1]], [(7, [0, 1]), (8, [0]), (9, [0, 1, 0, 0, 0])], np.array([n // 3, n // 3]), n, 5.0, 40, and_only)
+        got = pa.Table.from_batches(s.run(iter(rows))).to_pylist()
+        best = [i for i in range(n) if i % 1000 % 3 == 2][:40]
+        assert {q: [r["doc"] for r in got if r["q"] == q] for q in (7, 8, 9)} == {7: best, 8: best, 9: [] if and_only else best}
