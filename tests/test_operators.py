@@ -264,3 +264,10 @@ def test_bm25_keeps_a_bounded_list_of_a_common_word():
         got = pa.Table.from_batches(s.run(iter(rows))).to_pylist()
         best = [i for i in range(n) if i % 1000 % 3 == 2][:40]
         assert {q: [r["doc"] for r in got if r["q"] == q] for q in (7, 8, 9)} == {7: best, 8: best, 9: [] if and_only else best}
+
+
+def test_bm25_stores_numbers_once_a_document(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (1, "alpha beta"), (2, None)], "doc_id long, text string")
+    (p,) = lexical.indexed(spark.createDataFrame([(1, "beta")], "query_id long, text string"), docs, "doc_id", "text")
+    assert sorted((r.doc, r.dl, len(r.vs)) for r in p.hits.collect()) == [(1, 2, 2), (2, 0, 0)] and (p.n, p.avgdl) == (2, 1.0)
+    assert not [t for _, t in p.hits.dtypes if "string" in t]
