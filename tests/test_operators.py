@@ -271,3 +271,14 @@ def test_bm25_stores_numbers_once_a_document(spark):
     (p,) = lexical.indexed(spark.createDataFrame([(1, "beta")], "query_id long, text string"), docs, "doc_id", "text")
     assert sorted((r.doc, r.dl, len(r.vs)) for r in p.hits.collect()) == [(1, 2, 2), (2, 0, 0)] and (p.n, p.avgdl) == (2, 1.0)
     assert not [t for _, t in p.hits.dtypes if "string" in t]
+
+
+def test_vectors_of_texts_where_the_text_is(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (1, "a b a"), (2, None), (3, "B! a, a")], "id long, t string")
+    h = vector.hashed(docs, "id", "t")
+    got = {r.id: r.embedding for r in h.collect()}
+    assert h.count() == 3 and got[1] == got[3] and sorted(map(abs, got[1]))[-2:] in ([5**-0.5, 2 * 5**-0.5], [0.0, 1.0]) and set(got[2]) == {0.0}
+    # one task gives each question's k best once, whatever the number of its batches
+    v = spark.createDataFrame([(i, [float(i % 50), 1.0]) for i in range(5000)], "vec_id long, embedding array<double>").coalesce(1)
+    part = vector._scored(v.selectExpr("vec_id", "embedding", "1.0D as weight"), [spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>").first()], 2, 3, 2000, "query_id long, vec_id long, score double")
+    assert sorted((r.vec_id, r.score) for r in part.collect()) == [(49, 49.0), (99, 49.0), (149, 49.0)]
