@@ -282,3 +282,12 @@ def test_vectors_of_texts_where_the_text_is(spark):
     v = spark.createDataFrame([(i, [float(i % 50), 1.0]) for i in range(5000)], "vec_id long, embedding array<double>").coalesce(1)
     part = vector._scored(v.selectExpr("vec_id", "embedding", "1.0D as weight"), [spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>").first()], 2, 3, 2000, "query_id long, vec_id long, score double")
     assert sorted((r.vec_id, r.score) for r in part.collect()) == [(49, 49.0), (99, 49.0), (149, 49.0)]
+
+
+def test_search_runs_its_plan_once(spark):
+    sym = spark.createDataFrame([(1, 1, "loadToken", "function", 1, 5, "loadToken()"), (2, 1, "other", "function", 6, 9, None)], "id long, file_id long, name string, kind string, start_line int, end_line int, signature string")
+    files = spark.createDataFrame([(1, "src/token.ts", False)], "id long, path string, is_test boolean")
+    ch = spark.createDataFrame([(1, "function loadToken() {}", "load token"), (2, "calls loadToken", None)], "symbol_id long, code string, parts string")
+    got = fusion.search(spark.createDataFrame([(1, "loadToken")], "query_id long, text string"), sym.dropDuplicates(["id"]), files, ch)
+    # symbols are joined from what was stored, not from their own plan again
+    assert "Deduplicate" not in got._jdf.queryExecution().analyzed().toString() and got.orderBy("place").first().symbol_id == 1
