@@ -291,3 +291,23 @@ def test_search_runs_its_plan_once(spark):
     got = fusion.search(spark.createDataFrame([(1, "loadToken")], "query_id long, text string"), sym.dropDuplicates(["id"]), files, ch)
     # symbols are joined from what was stored, not from their own plan again
     assert "Deduplicate" not in got._jdf.queryExecution().analyzed().toString() and got.orderBy("place").first().symbol_id == 1
+
+
+def test_names_of_terms_stay_in_their_tasks(spark):
+    names = ["get", "getName", "forget", "GET_all", "ge", "ageOf", "İndexOf", "indexof", "x.get.get", None, "", "tokens", "Token", "ÄGET"]
+    r = random.Random(5)
+    names += ["".join(r.choice("getoknma_") for _ in range(r.randint(1, 9))) for _ in range(600)]
+    sym = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id long, name string").repartition(5)
+    terms = ["get", "GE", "g", "token", "İndexof", "", "nowhere", "get", "äget", "a_", None]
+    q = spark.createDataFrame([(i // 3, i % 3, t) for i, t in enumerate(terms)], "query_id long, g int, term string")
+    low = {r.id: (r.n, r.len) for r in sym.where("name is not null").selectExpr("id", "lower(name) n", "length(name) len").collect()}
+    asked = {(r.query_id, r.g): r.t for r in q.selectExpr("query_id", "g", "lower(term) t").collect() if r.t}
+    for most, strong in ((7, False), (7, True), (1000, False)):
+        want = set()
+        for (i, g), t in asked.items():
+            m = sorted((0 if n == t else 1 if n.startswith(t) else 2, k, s) for s, (n, k) in low.items() if t in n)
+            want |= {(i, g, s, how, j + 1) for j, (how, _, s) in enumerate([x for x in m if x[0] <= 1 or not strong][:most])}
+        got = lexical.by_name(q, sym, most, strong)
+        assert {tuple(r) for r in got.collect()} == want
+        plan = got._jdf.queryExecution().analyzed().toString()
+        assert "Generate" not in plan and "contains(" not in plan  # no grams and no pairs of names and terms between tasks
