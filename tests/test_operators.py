@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -7,7 +8,7 @@ import pytest
 
 from strataline.functions import text as T
 from strataline.operators import analytics as A
-from strataline.operators import fusion, graph, lexical, relations, vector
+from strataline.operators import fusion, graph, lexical, relations, scoring, vector
 
 
 def values(spark, rows, schema, *cols):
@@ -311,3 +312,37 @@ def test_names_of_terms_stay_in_their_tasks(spark):
         assert {tuple(r) for r in got.collect()} == want
         plan = got._jdf.queryExecution().analyzed().toString()
         assert "Generate" not in plan and "contains(" not in plan  # no grams and no pairs of names and terms between tasks
+
+
+def test_paths_of_questions_stay_in_their_tasks(spark):
+    r = random.Random(9)
+    words = "alpha beta gamma delta omega token store index".split()
+    rows = [(i, "src/" + "/".join(r.sample(words, r.randint(1, 4))) + ".ts", r.choice([True, False, False, None])) for i in range(400)] + [(400, None, False), (401, "x.ts", False)]
+    files = spark.createDataFrame(rows, "id long, path string, is_test boolean").repartition(5)
+    sym = spark.createDataFrame([(1000 + i, i, "function", 1) for i in range(402) if i % 9], "id long, file_id long, kind string, start_line int")
+    asked = [(1, "alpha beta gamma"), (2, "tests of the Token store"), (3, "omega"), (4, None), (5, "nothing here"), (6, "alpha beta gamma"), (7, " ".join(words)), (8, "gamma, beta; alpha stores!")]
+    q = spark.createDataFrame(asked, "query_id long, text string")
+    of = {i: [w for w in re.split(r"\W+", p[:-3]) if len(w) >= 3] for i, p, _ in rows if p}
+    df = {w: sum(w in x for x in of.values()) for w in [*words, "src"]}
+    want = set()
+    for i, text in asked:
+        ws = {w for w in re.findall("[a-z]+", (text or "").lower().replace("stores", "store")) if w in df}
+        best = []
+        for f, _, test in rows:
+            m = ws & set(of.get(f, ()))
+            if len(m) >= 2 and ("tests" in (text or "") or test is False):
+                best.append((-round(sum(math.log(1 + len(rows) / df[w]) for w in m), 9), -len(m), f))
+        want |= {(i, 1000 + f, pos) for pos, (_, _, f) in enumerate(sorted(best)[:12]) if f % 9}
+    got = fusion.path_channel(q, sym, files)
+    assert {tuple(x) for x in got.collect()} == want and {i for i, _, _ in want} == {1, 2, 6, 7, 8}
+    # files and questions don't meet in rows: only each task's best are shuffled
+    assert "MapInArrow" in got._jdf.queryExecution().analyzed().toString()
+    # blocks after the first, which know what they have to reach, give the same
+    s = scoring.Paths(words, [1.0 + i for i in range(8)], [(1, True, [0, 3, 5]), (2, False, [1, 2, 3, 4, 5, 6, 7])], 2, 12)
+    t = pa.table({"f": pa.array([i for i, _, _ in rows]), "t": pa.array([x is not False for _, _, x in rows]), "ts": pa.array([of.get(i, []) for i, _, _ in rows], pa.list_(pa.string()))})
+    whole = [x for b in s.run(iter(t.to_batches())) for x in b.to_pylist()]
+    scoring.BLOCK_DOCS, size = 7, scoring.BLOCK_DOCS
+    try:
+        assert whole and [x for b in s.run(iter(t.to_batches(max_chunksize=7))) for x in b.to_pylist()] == whole
+    finally:
+        scoring.BLOCK_DOCS = size
