@@ -48,3 +48,23 @@ def test_no_hits(spark):
     hits, *rest = world(spark)
     items, summary = C.assemble(hits.limit(0), *rest)
     assert items.collect() == [] and summary.collect() == []
+
+
+def test_repeated_chunks(spark):
+    hits, symbols, files, chunks, edges, literals = world(spark)
+    want = sorted(C.assemble(hits, symbols, files, chunks, edges, literals)[0].collect())
+    assert sorted(C.assemble(hits, symbols, files, chunks.unionByName(chunks), edges, literals)[0].collect()) == want and len(want) == 6
+
+
+def test_every_symbol_is_a_task(spark, tmp_path):
+    from strataline.plans.search_queries import contexts
+
+    _, symbols, files, chunks, edges, _ = world(spark)
+    # 7 is named like 1, 100 is the only one whose number ends so
+    symbols = symbols.unionByName(spark.createDataFrame([(7, 1, "alpha", "function", 5, 6, 0, 9, "alpha(x)"), (8, 1, None, "function", 7, 8, 0, 9, None), (100, 2, "omega", "function", 5, 6, 0, 9, "omega()")], SYM))
+    chunks = chunks.unionByName(spark.createDataFrame([(7, "alpha x"), (100, "omega")], chunks.schema)).withColumn("parts", A.F.lit(""))
+    literals = spark.createDataFrame([], "id long, symbol_id long, key string")
+    for name, df in {"symbols": symbols, "files": files, "chunks": chunks, "edges": edges, "string_literals": literals}.items():
+        df.unionByName(df).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.task_id: tuple(r)[1:] for r in contexts(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6, 7, 100} and got[1] == got[7] and got[1] != got[100]
