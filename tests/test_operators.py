@@ -346,3 +346,28 @@ def test_paths_of_questions_stay_in_their_tasks(spark):
         assert whole and [x for b in s.run(iter(t.to_batches(max_chunksize=7))) for x in b.to_pylist()] == whole
     finally:
         scoring.BLOCK_DOCS = size
+
+
+def test_whole_documents_are_questions(spark, tmp_path):
+    from strataline.plans.search_queries import hybrid_documents
+
+    sym = spark.createDataFrame([(1, 1, "f", "function", 1, 5, "f()"), (2, 2, "g", "function", 1, 5, "g()")], "id long, file_id long, name string, kind string, start_line int, end_line int, signature string")
+    files = spark.createDataFrame([(1, "a.ts", False), (2, "b.ts", False)], "id long, path string, is_test boolean")
+    ch = spark.createDataFrame([(1, "nothing here", None), (2, "needle getLastNeedle", "get last needle")], "symbol_id long, code string, parts string")
+    words = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(7, words + " needle"), (100, words + " getLastNeedle"), (8, words + " none"), (9, "___ "), (10, None)], "doc_id long, text string")
+    for name, df in {"symbols": sym, "files": files, "chunks": ch, "documents": docs}.items():
+        df.unionByName(df).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = hybrid_documents(spark, str(tmp_path)).where("confidence = 'high'").select("query_id", "symbol_id")
+    assert sorted(map(tuple, got.collect())) == [(7, 2), (100, 2)]
+
+
+def test_groups_of_terms(spark):
+    texts = ["getUserName of AES256Key", "user_name USER_NAME", "a b c", "___", "", None, "x1 HTTPServer2go", "the of an it", "é getÄpfel", " ".join(f"w{i} a" for i in range(30))]
+    q = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    for most in (16, None):
+        want = {}
+        for r in lexical.query_groups(q, most).collect():
+            want.setdefault(r.query_id, []).append(" ".join(w for w in r.term.lower().split("_") if w) + "|" + " ".join(r.parts or []))
+        got = {r.query_id: r.groups.split("\n") for r in lexical._groups(q, ["code", "parts"], most).collect()}
+        assert got == {k: sorted(v) for k, v in want.items()} and len(got) == 8 and len(got[9]) == (16 if most else 20)
