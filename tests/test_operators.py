@@ -371,3 +371,19 @@ def test_groups_of_terms(spark):
             want.setdefault(r.query_id, []).append(" ".join(w for w in r.term.lower().split("_") if w) + "|" + " ".join(r.parts or []))
         got = {r.query_id: r.groups.split("\n") for r in lexical._groups(q, ["code", "parts"], most).collect()}
         assert got == {k: sorted(v) for k, v in want.items()} and len(got) == 8 and len(got[9]) == (16 if most else 20)
+
+
+def test_questions_split_over_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a{i % 3} b{i % 5} c{i % 7} d{i % 2}") for i in range(60)], "id long, t string")
+    q = spark.createDataFrame([(i, f"a{i % 4} b{i % 5} c{i % 9} d1 a{i % 4}" if i % 2 else f"a{i % 3} b{i % 5}") for i in range(30)] + [(3, "a3 b3 c3 d1 a3")], "query_id long, text string")
+
+    def answers():
+        b = lexical.bm25(q, docs, "id", ["t"], 5)
+        v = vector.top_k(vector.hashed(docs, "id", "t").withColumnRenamed("id", "vec_id"), vector.hashed(q, "query_id", "text"), 4)
+        return [sorted(map(tuple, x.select("query_id", *names).collect())) for x, names in ((b, ("doc", "score", "rank")), (v, ("vec_id", "score", "rank")))]
+
+    want = answers()
+    monkeypatch.setattr(lexical, "MAX_KEPT", 20)
+    monkeypatch.setattr(vector, "MAX_KEPT", 50)
+    monkeypatch.setattr(lexical, "MAX_WORDS", 40)
+    assert answers() == want and all(len({r[0] for r in x}) == 30 for x in want)
